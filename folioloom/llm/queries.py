@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioloom.llm import mixing, packing, splitting
+from folioloom.llm import encoding, mixing, packing, splitting
 from folioloom.sources.tables import table
 
 
@@ -33,7 +33,18 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Every affected document with its restored text."""
+    return encoding.affected(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_repaired(spark, d).select("doc_id").distinct()
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_repaired": p7_repaired,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_packed": p5_packed,
