@@ -3,11 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioloom.llm import encoding, mixing, packing, splitting
+from folioloom.llm import encoding, lookalikes, mixing, packing, splitting
 from folioloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.pairs(table(spark, d, "nodes"), table(spark, d, "document_metadata"))
+
+
+def p2_node_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every node's text in its canonical form."""
+    nodes = table(spark, d, "nodes").select("doc_id", F.col("id").alias("node_id"), F.col("content.text").alias("text"))
+    return lookalikes.canonical_texts(nodes, ["doc_id", "node_id"]).drop("text").distinct()
+
+
+def p2_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Every title in its canonical form."""
+    return lookalikes.canonical_texts(table(spark, d, "document_metadata"), ["root_id"], "title").drop("text").distinct()
+
+
+def p2_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """The token spellings of node texts that change, and their canonical ones."""
+    return lookalikes.spellings(table(spark, d, "nodes").select(F.col("content.text").alias("text")))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_nodes(table(spark, d, "nodes"), table(spark, d, "document_metadata"), table(spark, d, "size_limits"))
 
@@ -43,6 +64,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_node_texts": p2_node_texts,
+    "p2_titles": p2_titles,
+    "p2_spellings": p2_spellings,
     "p7_found": p7_found,
     "p7_repaired": p7_repaired,
     "p4_found": p4_found,
@@ -53,7 +78,30 @@ QUERIES = {
     "p6_shares": p6_shares,
 }
 
+
+
+def _text_literal(chars: str) -> str:
+    return "'" + chars.replace("'", "''") + "'"
+
+
+def _look(text: str) -> str:
+    """The look of a text in SQL: ignorables out, blanks and look-alikes by table, composed."""
+    table_ = lookalikes.classes()
+    single = {k: v for k, v in table_.items() if len(v) == 1} | {b: " " for b in lookalikes.BLANK}
+    out = f"regexp_replace({text}, '[{lookalikes.IGNORABLE}]', '', 'g')"
+    for k, v in table_.items():
+        if len(v) > 1 and 0xFB00 <= ord(k) <= 0xFB06:
+            out = f"replace({out}, '{k}', '{v}')"
+    return f"nfc_normalize(translate({out}, {_text_literal(''.join(single))}, {_text_literal(''.join(single.values()))}))"
+
+
 SQL = {
+    "p2_found": f"""
+WITH t AS (SELECT DISTINCT doc_id, id, content.text AS own, {_look("content.text")} AS look FROM nodes WHERE id IS NOT NULL AND content.text IS NOT NULL),
+m AS (SELECT DISTINCT root_id AS id, title AS own, {_look("title")} AS look FROM document_metadata WHERE root_id IS NOT NULL AND title IS NOT NULL)
+SELECT DISTINCT 'text' AS field, a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.look = b.look AND a.id < b.id AND a.own <> b.own
+UNION ALL
+SELECT DISTINCT 'title', a.id, b.id FROM m a JOIN m b ON a.look = b.look AND a.id < b.id AND a.own <> b.own""",
     "p4_found": """
 SELECT DISTINCT n.id AS node_id
 FROM nodes n JOIN document_metadata m ON m.doc_id = n.doc_id
