@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import encoding, lookalikes, mixing, packing, splitting
+from folioloom.llm import encoding, lookalikes, mixing, packing, scans, splitting
 from folioloom.sources.tables import table
 
 
@@ -29,6 +29,24 @@ def p2_spellings(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.spellings(table(spark, d, "nodes").select(F.col("content.text").alias("text")))
 
 
+def _scans(spark: SparkSession, d: str) -> scans.Scans:
+    return scans.Scans(table(spark, d, "nodes"), table(spark, d, "document_metadata"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).defects()
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The running text of scanned documents' nodes, repaired."""
+    return _scans(spark, d).repaired()
+
+
+def p3_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Misread forms and what they are misreads of."""
+    return _scans(spark, d).forms
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_nodes(table(spark, d, "nodes"), table(spark, d, "document_metadata"), table(spark, d, "size_limits"))
 
@@ -70,6 +88,9 @@ QUERIES = {
     "p2_spellings": p2_spellings,
     "p7_found": p7_found,
     "p7_repaired": p7_repaired,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
+    "p3_forms": p3_forms,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_packed": p5_packed,
