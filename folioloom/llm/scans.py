@@ -54,6 +54,11 @@ HAS_LETTERS = r"\p{L}{2}"
 
 
 def _plain(text: Column) -> Column:
+    """The text without disguised characters; plain ASCII is left alone."""
+    return F.when(text.rlike(r"[^\x00-\x7e]"), _undisguised(text)).otherwise(text)
+
+
+def _undisguised(text: Column) -> Column:
     """Disguised characters by table, blanks as spaces, ignorables out (what stands at a line's end is cut off before)."""
     pairs = [p for p in LOOKALIKES.split() if p[1] != "-"]
     src = "".join(p[0] for p in pairs) + BLANK + IGNORABLE
@@ -266,18 +271,20 @@ class Scans:
     # -- words
 
     def _words(self) -> DataFrame:
-        cut = rf"\S*[{HYPHENS}]\s*\n\s*\S*"
-        whole = F.regexp_replace(F.col("text"), cut, " ")
+        # cut words don't count: their halves are marked and dropped
+        marked = F.when(F.col("text").contains("\n"), F.regexp_replace("text", rf"[{HYPHENS}][ \t]*\n\s*\S*", "\u0001")).otherwise(F.col("text"))
         wrapped = F.col("text").contains("\n")
         tokens = self.all_nodes.filter("node_type in ('Paragraph', 'ListItem', 'Section')").select(
-            wrapped.alias("wrapped"), F.explode(F.split(_plain(whole), " +")).alias("token")
+            wrapped.alias("wrapped"), F.explode(F.split(F.translate(_plain(marked), "\n\t", "  "), " ")).alias("token")
         )
-        tokens = tokens.select("wrapped", bare_word(F.col("token")).alias("word")).filter("word <> ''")
-        counted = tokens.groupBy("word").agg(F.count("*").alias("n"), F.count_if(~F.col("wrapped")).alias("clean"))
+        # raw tokens are counted first, so that each distinct one is stripped once
+        raw = tokens.filter("token <> ''").groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("wrapped")).alias("clean"))
+        word = raw.filter(~F.col("token").contains("\u0001")).select(bare_word(F.col("token")).alias("word"), "n", "clean")
         # compounds count as themselves and by their parts
-        parts = counted.filter(F.col("word").contains("-")).select(F.explode(F.split("word", "-")).alias("word"), "n", "clean").filter("word <> ''")
-        joined = self.cuts.groupBy(F.col("joined").alias("word")).agg(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("clean"))
-        return counted.unionByName(parts).unionByName(joined).groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+        forms = F.when(F.col("word").contains("-"), F.concat(F.array("word"), F.split("word", "-"))).otherwise(F.array("word"))
+        counted = word.select(F.explode(forms).alias("word"), "n", "clean").filter("word <> ''")
+        joined = self.cuts.select(F.col("joined").alias("word"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("clean"))
+        return counted.unionByName(joined).groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
 
     def _forms(self) -> DataFrame:
         """word, form: forms that are misreads of more frequent ones with the same skeleton."""
