@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioloom.plans import nested_queries
+from folioloom.plans import core_queries, nested_queries
 
-MODULES = (nested_queries,)
+MODULES = (nested_queries, core_queries)
 
 
 def queries() -> dict:
