@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioloom.config import Lists
 from folioloom.functions.blocks import before, previous
 from folioloom.functions.text import trimmed
+from folioloom.session import checkpointed
 
 
 def is_bullet(text: Column, config: Lists) -> Column:
@@ -57,6 +58,7 @@ def items(parsed: DataFrame, config: Lists) -> DataFrame:
     """
     rows = indexed(parsed).withColumn("marker", (is_bullet(F.col("text"), config) | is_numbered(F.col("text"), config)).cast("int"))
     rows = before(rows, ["doc_id"], "index", F.col("marker"), "m").withColumn("m", F.col("m") + F.col("marker"))
+    rows = checkpointed(rows)
     heads = rows.filter("marker = 1").select("doc_id", "m", F.col("index").alias("head"))
     follow = heads.select("doc_id", (F.col("m") - 1).alias("m"), F.col("head").alias("next_head"))
     heads = heads.join(follow, ["doc_id", "m"], "left")
@@ -128,7 +130,8 @@ def detect_lists(parsed: DataFrame, config: Lists) -> DataFrame:
 
     All results are kept in order, also with containers off or items preserved.
     """
-    found = items(parsed, config).join(valid_lists(items(parsed, config), config), ["doc_id", "list_no"], "left_semi")
+    every = checkpointed(items(parsed, config))
+    found = every.join(valid_lists(every, config), ["doc_id", "list_no"], "left_semi")
     rows = indexed(parsed)
     spans = found.select("doc_id", "list_no", "item_no", "text", "bounding_box", F.explode(F.sequence("first", "last")).alias("index"), F.col("first").alias("head"))
     rest = rows.join(spans.select("doc_id", "index"), ["doc_id", "index"], "left_anti").drop("index")

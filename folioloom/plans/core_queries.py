@@ -201,7 +201,7 @@ def _trim(c: str) -> str:
 
 _PARSED = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order) - 1 AS position FROM {_E}) WHERE {_trim('text')} <> '')"
 _ONE = "format('{:.1f}', round_even(CAST(font_size AS DOUBLE), 1))"
-_KNOWN = f"""(SELECT c.doc_id, round(CAST(f.size AS DOUBLE), 2) AS size, sum(c.n) AS n
+_KNOWN = f"""(SELECT c.doc_id, round(CAST(f.size AS DOUBLE), 2) AS size, CAST(sum(c.n) AS BIGINT) AS n
   FROM (SELECT doc_id, class_name, count(*) AS n FROM {_STYLED} GROUP BY ALL) c
   JOIN (SELECT doc_id, class_name, max(font_size) AS size FROM font_classes WHERE class_name IS NOT NULL GROUP BY ALL) f USING (doc_id, class_name) GROUP BY 1, 2)"""
 _SIZES = f"""
@@ -237,7 +237,7 @@ s AS {_SETS},
 r AS (SELECT doc_id, overall, node_type, min(v) AS low, max(v) AS high, greatest(CAST(ceil((max(v) - min(v)) / 10.0) AS BIGINT), 1) AS w FROM s GROUP BY ALL),
 b AS (SELECT *, unnest(range(greatest(CAST(ceil((high - low) / CAST(w AS DOUBLE)) AS BIGINT), 1))) AS bin FROM r),
 hist AS (SELECT b.doc_id, b.overall, b.node_type, CAST(b.bin AS INTEGER) AS bin, low + bin * w AS range_start, least(low + (bin + 1) * w, high + 1) AS range_end,
-       count(s.v) AS count, coalesce(sum(s.v), 0) AS token_sum
+       count(s.v) AS count, CAST(coalesce(sum(s.v), 0) AS BIGINT) AS token_sum
   FROM b LEFT JOIN s ON s.doc_id = b.doc_id AND s.overall = b.overall AND s.node_type IS NOT DISTINCT FROM b.node_type AND s.v >= low + bin * w AND s.v < least(low + (bin + 1) * w, high + 1)
     AND (low = high OR s.v < low + CAST(ceil((high - low) / CAST(w AS DOUBLE)) AS BIGINT) * w)
   GROUP BY ALL)"""
@@ -249,7 +249,7 @@ a AS (SELECT f.*, '' AS prefix FROM f UNION ALL
 SQL = {
     "a1_font_size_counts": f"SELECT doc_id, {_ONE} AS font_size, count(*) AS n FROM {_STYLED} GROUP BY ALL",
     "a2_font_family_counts": f"SELECT doc_id, font_family, count(*) AS n FROM {_STYLED} GROUP BY ALL",
-    "a3_weight_counts": f"""SELECT doc_id, sum(b) AS bold, sum(1 - b) AS not_bold, sum(i) AS italic, sum(1 - i) AS not_italic FROM (
+    "a3_weight_counts": f"""SELECT doc_id, CAST(sum(b) AS BIGINT) AS bold, CAST(sum(1 - b) AS BIGINT) AS not_bold, CAST(sum(i) AS BIGINT) AS italic, CAST(sum(1 - i) AS BIGINT) AS not_italic FROM (
 SELECT doc_id, CAST(coalesce(lower(font_weight) LIKE '%bold%', false) AS BIGINT) AS b, CAST(coalesce(lower(font_style) LIKE '%italic%', false) AS BIGINT) AS i FROM {_STYLED}) GROUP BY 1""",
     "a4_most_common": f"""WITH {_SIZES}, g AS (SELECT doc_id, font_family, count(*) AS n FROM {_STYLED} GROUP BY ALL)
 SELECT c.doc_id, CAST(common AS DOUBLE) AS size, (SELECT font_family FROM g WHERE g.doc_id = c.doc_id ORDER BY n DESC, font_family LIMIT 1) AS family FROM c""",
@@ -273,29 +273,32 @@ SELECT o.doc_id, CASE WHEN is_h THEN 'Section' ELSE 'Paragraph' END AS element_t
 FROM o LEFT JOIN f ON f.doc_id = o.doc_id AND f.heading = o.heading GROUP BY ALL""",
     "r10_paragraphs": f"""SELECT doc_id, page_number, paragraph_number, min(reading_order) AS reading_order, string_agg(text, ' ' ORDER BY reading_order) AS text,
   min(bounding_box.x) AS x, min(bounding_box.y) AS y, max(bounding_box.x + bounding_box.width) - min(bounding_box.x) AS width,
-  max(bounding_box.y + bounding_box.height) - min(bounding_box.y) AS height, sum(token_count) AS token_count FROM {_PARSED} GROUP BY 1, 2, 3""",
+  max(bounding_box.y + bounding_box.height) - min(bounding_box.y) AS height, CAST(sum(token_count) AS BIGINT) AS token_count FROM {_PARSED} GROUP BY 1, 2, 3""",
     "r15_issues": f"""WITH p AS (SELECT *, bounding_box.x AS x, bounding_box.y AS y, bounding_box.width AS w, bounding_box.height AS h,
   lag(reading_order) OVER o AS pr, lag(page_number) OVER o AS pp FROM {_PARSED} WINDOW o AS (PARTITION BY doc_id ORDER BY reading_order))
 SELECT doc_id, 'reading_order' AS issue, reading_order FROM p WHERE reading_order < greatest(coalesce(pr + 1, 0) - 5, 0) OR reading_order > coalesce(pr + 1, 0) + 10
 UNION ALL SELECT doc_id, 'invalid_box', reading_order FROM p WHERE x < 0 OR y < 0 OR w <= 0 OR h <= 0
 UNION ALL SELECT doc_id, 'page_zero', reading_order FROM p WHERE page_number = 0
 UNION ALL SELECT doc_id, 'page_jump', reading_order FROM p WHERE page_number > pp + 5""",
+    "r21_quality": f"""WITH i AS (@ISSUES@), e AS (SELECT doc_id, count(*) AS elements FROM {_PARSED} GROUP BY 1),
+b AS (SELECT doc_id, count(*) AS issues FROM i GROUP BY 1)
+SELECT e.doc_id, elements, coalesce(issues, 0) AS issues, greatest(0.0::DOUBLE, 1 - coalesce(issues, 0) / CAST(elements AS DOUBLE)) AS score FROM e LEFT JOIN b ON b.doc_id = e.doc_id""",
     "g5_places": f"""WITH n AS (SELECT * FROM {_N} WHERE text_order IS NOT NULL)
 SELECT c.doc_id, c.text_order, coalesce(p.text_order, -1) AS parent_order, c.location.semantic.path AS path FROM n c LEFT JOIN n p ON p.doc_id = c.doc_id AND p.id = c.parent""",
     "g7_children": f"""SELECT doc_id, parent, id AS child, row_number() OVER (PARTITION BY doc_id, parent ORDER BY text_order) - 1 AS place
 FROM {_N} WHERE parent IS NOT NULL AND text_order IS NOT NULL""",
     "g12_subtrees": f"""WITH n AS (SELECT doc_id, id, text_order, location.semantic.path AS path FROM {_N})
 SELECT t.doc_id, t.id, min(s.text_order) AS first, max(s.text_order) AS last FROM n t JOIN n s ON s.doc_id = t.doc_id AND (t.path = '' OR s.path = t.path OR s.path LIKE t.path || '.%') GROUP BY ALL""",
-    "profile_subtrees": f"""WITH {_PREFIX} SELECT t.doc_id, t.id AS top, count(*) AS total_nodes, sum(a.v) AS total_tokens, max(a.depth) AS max_depth
+    "profile_subtrees": f"""WITH {_PREFIX} SELECT t.doc_id, t.id AS top, count(*) AS total_nodes, CAST(sum(a.v) AS BIGINT) AS total_tokens, max(a.depth) AS max_depth
 FROM f t JOIN a ON a.doc_id = t.doc_id AND a.prefix = t.path WHERE t.node_type = 'Section' GROUP BY ALL""",
     "profile_histograms": f"WITH {_HIST} SELECT * FROM hist",
     "profile_tokens": f"""WITH {_HIST}
-SELECT s.doc_id, s.overall, s.node_type, count(*) AS total_count, sum(v) AS total_tokens, avg(v) AS mean, median(v) AS median, coalesce(var_samp(v), 0) AS variance,
+SELECT s.doc_id, s.overall, s.node_type, count(*) AS total_count, CAST(sum(v) AS BIGINT) AS total_tokens, avg(v) AS mean, median(v) AS median, coalesce(var_samp(v), 0) AS variance,
   (SELECT range_start FROM hist h WHERE h.doc_id = s.doc_id AND h.overall = s.overall AND h.node_type IS NOT DISTINCT FROM s.node_type ORDER BY count DESC, range_start DESC LIMIT 1) AS mode
 FROM s GROUP BY s.doc_id, s.overall, s.node_type""",
-    "profile_types": f"SELECT doc_id, node_type, count(*) AS n, count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY doc_id) AS percentage FROM {_FLAT} GROUP BY doc_id, node_type",
+    "profile_types": f"SELECT doc_id, node_type, count(*) AS n, CAST(count(*) AS DOUBLE) * 100 / CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS DOUBLE) AS percentage FROM {_FLAT} GROUP BY doc_id, node_type",
     "profile_depths": f"SELECT doc_id, depth, count(*) AS n FROM {_FLAT} GROUP BY ALL",
-    "profile_totals": f"SELECT doc_id, count(*) AS total_nodes, sum(v) AS total_tokens, coalesce(max(depth), 0) AS max_depth, avg(depth) AS avg_depth, 'Generic' AS document_type, 'Fixed' AS flow_type FROM {_FLAT} GROUP BY 1",
+    "profile_totals": f"SELECT doc_id, count(*) AS total_nodes, CAST(sum(v) AS BIGINT) AS total_tokens, coalesce(max(depth), 0) AS max_depth, avg(depth) AS avg_depth, 'Generic' AS document_type, 'Fixed' AS flow_type FROM {_FLAT} GROUP BY 1",
     "o2_sequential": f"SELECT doc_id, coalesce(text_order + 1, 0) AS segment, node_type, content.text AS text, location.semantic.path AS path, location.physical.page AS page, token_count AS tokens FROM {_N}",
     "o3_flat": f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(text_order, -1), id) - 1 AS INTEGER) AS place, content.text AS chunk FROM {_N}",
     "o9_text_hashes": "SELECT doc_id, sha256(text) AS hash FROM documents",
@@ -311,3 +314,8 @@ FROM {_N} r JOIN {_N} n ON n.doc_id = r.doc_id WHERE r.parent IS NULL GROUP BY A
   bounding_box.x AS x, bounding_box.y AS y, bounding_box.width AS width, bounding_box.height AS height, line_number, segment_number
 FROM {_E} WHERE {_trim("replace(text, '<', '')")} <> '' AND bounding_box.x IS NOT NULL AND bounding_box.y IS NOT NULL AND bounding_box.width IS NOT NULL AND bounding_box.height IS NOT NULL""",
 }
+SQL["r21_quality"] = SQL["r21_quality"].replace("@ISSUES@", SQL["r15_issues"])
+_WITH_MARKUP = f"(SELECT DISTINCT doc_id FROM {_E} WHERE bounding_box IS NOT NULL AND text IS NOT NULL)"
+SQL["x8_metadata"] = f"""SELECT e.doc_id, replace(m.title, chr(34), chr(39)) AS title FROM {_WITH_MARKUP} e
+LEFT JOIN (SELECT doc_id, max(title) AS title FROM document_metadata GROUP BY 1) m USING (doc_id)"""
+SQL["x9_font_classes"] = f"SELECT DISTINCT f.* FROM font_classes f JOIN {_WITH_MARKUP} e USING (doc_id) WHERE class_name IS NOT NULL"
