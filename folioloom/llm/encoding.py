@@ -121,6 +121,7 @@ def _utf8_pattern(enc: str) -> re.Pattern:
     return re.compile(f"(?:{one(0xC2, 0xDF)}{more}|{one(0xE0, 0xEF)}{more}{{2}}|{one(0xF0, 0xF4)}{more}{{3}})+")
 
 
+DRAWING = re.compile("[\u2500-\u259f]")
 GBK_RUN = re.compile("[¤-￥]*[⺀-﫿][¤-￥]*")
 LINE = re.compile("[^\n]+")
 NON_ASCII = re.compile("[^\x00-\x7e]")
@@ -215,7 +216,7 @@ class Model:
                 if not _proper(new):
                     continue
                 gain = self.gain(run[m.start() - 1 : m.start()] if m.start() else before, m.group(), new, run[m.end() : m.end() + 1] or after)
-                if gain < LEAST_BITS or _weak(m.group(), gain):
+                if gain < LEAST_BITS or _weak(m.group(), gain) or _drawn(m, run):
                     continue
                 parts += [run[at : m.start()], new]
                 at, saved, covered = m.end(), saved + gain, covered + len(m.group())
@@ -283,6 +284,12 @@ def _proper(new: str) -> bool:
     return all(c >= "\x80" or c >= " " or c in "\t\n\r" for c in new) and all(unicodedata.category(c) not in ("Cn", "Co", "Cs") for c in new if c > "\xff")
 
 
+def _drawn(m: re.Match, run: str) -> bool:
+    """Whether a sequence is but a part of a drawing: only drawing characters, and another one right beside it."""
+    beside = run[m.start() - 1 : m.start()] + run[m.end() : m.end() + 1] if m.start() else run[m.end() : m.end() + 1]
+    return bool(DRAWING.search(beside)) and len(DRAWING.findall(m.group())) == len(m.group())
+
+
 def _weak(old: str, gain: float) -> bool:
     """Letters alone may be a real word: they need more evidence than sequences with signs in them."""
     return gain < 2 * LEAST_BITS and len(old) <= 3 and all(c.isalpha() and c not in LETTERLIKE for c in old)

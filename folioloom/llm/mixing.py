@@ -3,7 +3,7 @@
 Systematic sampling inside each source: every record expects the same number of copies, the record of rank r covers
 the stretch from r to r + 1 copies' worth, one random offset shifts the source's scale, and a record is emitted once
 for each whole number that its stretch crosses. A record so gets the floor or the ceiling of what it expects and never
-more than its source's ``max_repeats``. Ranks run by size class and then by hash, so that large and small records are
+more than its source's ``max_repeats``. Ranks run by size class, hash block and size, so that large and small records are
 drawn evenly and a source's tokens come out close to its share.
 
 The total is ``total_tokens``, by default all tokens of the sources that have a target. A source whose share of it
@@ -55,7 +55,7 @@ def mix(
     known = sizes.join(F.broadcast(rate.select("source", "rate")) if len(rates) <= 10_000 else rate.select("source", "rate"), "source")
     # a third of all records may have one source: ranks are taken by blocks
     blocks = max(1, max((r.records for r in wanted), default=0) // ROWS_A_BLOCK)
-    order = ranked(known, ["source"], ["item", "tokens"], blocks, F.floor(F.log2(F.col("tokens") + 1)).cast("int"))
+    order = ranked(known, ["source"], ["tokens", "item"], blocks, F.floor(F.log2(F.col("tokens") + 1)).cast("int"))
     # the offset is drawn per source, from the seed
     shift = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor((F.col("rank") + 1) * F.col("rate") + shift) - F.floor(F.col("rank") * F.col("rate") + shift)
