@@ -13,8 +13,8 @@ Vocabulary, heads and statistics cover all documents. Windows over a document's
 borders are bridged by one summary row a block, since one document may hold a third of all nodes.
 
 Defined results: null texts and ids give nothing; empty lines are skipped; repeated rows count once; nodes without a text
-order take no part in joins across nodes; of equally frequent forms the one with fewer confusions, then the smaller
-one is taken; documents without wrapped paragraphs are no scans and give nothing.
+order take no part in joins across nodes; of several forms the one with the fewest confusions is
+taken, then the one that the words before support most, then the more frequent, then the smaller one; documents without wrapped paragraphs are no scans and give nothing.
 """
 
 from __future__ import annotations
@@ -124,22 +124,23 @@ def confusions_between(seen: str, true: str, most: int = MOST_CONFUSIONS) -> int
 
 
 def _choose(words: pd.Series, counts: pd.Series, cleans: pd.Series, forms: pd.Series) -> pd.Series:
+    """The far more frequent forms that the fewest confusions lead to; mostly one."""
     out = []
     for w, n, clean, cand in zip(words, counts, cleans, forms):
-        best = None
+        least, best = MOST_CONFUSIONS + 1, []
         for c in cand:
             if c["word"] == w or c["n"] < RARER * n or (clean and c["clean"] < RARER_CLEAN * clean):
                 continue
             cost = confusions_between(w, c["word"])
-            if cost:
-                key = (cost, -int(c["n"]), c["word"])
-                best = key if best is None or key < best else best
-        out.append(best and best[2])
+            if cost and cost <= least:
+                best = [*best, c] if cost == least else [c]
+                least = cost
+        out.append([{"form": c["word"], "n": int(c["n"])} for c in best])
     return pd.Series(out, dtype=object)
 
 
-def _true_form(*columns) -> Column:
-    return F.pandas_udf(_choose, "string")(*columns)
+def _true_forms(*columns) -> Column:
+    return F.pandas_udf(_choose, "array<struct<form:string,n:bigint>>")(*columns)
 
 
 class Scans:
@@ -292,8 +293,21 @@ class Scans:
         frequent = keyed.filter((F.col("n") >= RARER) & F.col("word").rlike(r"^\p{L}+$"))
         groups = frequent.groupBy("skeleton").agg(F.collect_list(F.struct("word", "n", "clean")).alias("forms"), F.max("n").alias("most"))
         rare = keyed.join(groups, "skeleton").filter(F.col("most") >= RARER * F.greatest("n", F.lit(1)))
-        found = rare.withColumn("form", _true_form("word", F.greatest("n", F.lit(1)), "clean", "forms"))
-        return found.filter("form is not null").select("word", "form")
+        found = checkpointed(rare.select("word", F.explode(_true_forms("word", F.greatest("n", F.lit(1)), "clean", "forms")).alias("c")).select("word", "c.*"))
+        # where several forms are as near, the one that follows the same words more often in the scans is taken
+        several = found.groupBy("word").agg(F.count("*").alias("forms")).filter("forms > 1").select("word")
+        pairs = checkpointed(self._pairs())
+        seen = found.join(several, "word", "left_semi").join(pairs.select("word", "ahead").distinct(), "word")
+        support = seen.join(pairs.select("ahead", F.col("word").alias("form"), F.col("n").alias("s")), ["ahead", "form"]).groupBy("word", "form").agg(F.sum("s").alias("support"))
+        ranked = found.join(support, ["word", "form"], "left").na.fill(0, ["support"])
+        best = ranked.groupBy("word").agg(F.min(F.struct((-F.col("support")).alias("s"), (-F.col("n")).alias("n"), "form")).alias("b"))
+        return best.select("word", "b.form")
+
+    def _pairs(self) -> DataFrame:
+        """ahead, word, n: adjacent words in the lines of scans' running text."""
+        words = self.running().select(F.filter(F.transform(F.split(_plain(F.col("line")), " "), bare_word), lambda w: w != "").alias("w"))
+        two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("ahead"), F.element_at("w", i + 1).alias("word")))
+        return words.filter(F.size("w") > 1).select(F.inline(two)).groupBy("ahead", "word").agg(F.count("*").alias("n"))
 
     # -- results
 
