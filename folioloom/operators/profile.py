@@ -37,7 +37,7 @@ def histograms(flat: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     by = values.groupBy("doc_id", "whole", "t")
-    doc = by.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.map_from_entries(F.collect_list(F.struct("v", "n"))).alias("counts"))
+    doc = by.agg(F.min("v").alias("low"), F.max("v").alias("high"))
     w = _width(F.col("low"), F.col("high"))
     doc = doc.withColumn("w", w).withColumn("nb", F.greatest(F.ceil((F.col("high") - F.col("low")) / w), F.lit(1)).cast("int"))
     bins = doc.withColumn(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioloom.plans import core_queries, nested_queries
+from folioloom.plans import core_queries, nested_queries, optin_queries
 
-MODULES = (nested_queries, core_queries)
+MODULES = (nested_queries, core_queries, optin_queries)
 
 
 def queries() -> dict:
