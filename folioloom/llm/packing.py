@@ -30,6 +30,8 @@ from folioloom.llm.tokens import TOKENIZERS, VOCABULARY, token_count
 from folioloom.session import checkpointed
 
 ROWS_A_BLOCK = 50_000
+#: A plan of up to so many rows (some 50 bytes each) is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -148,6 +150,9 @@ def pack(documents: DataFrame, packs: DataFrame, id_col: str = "doc_id", text_co
     items = ranked(pieces, ["pack_name", "tokens"], ["item", "piece"], max(1, total // ROWS_A_BLOCK))
     # the plan's rows of a size are few; they are joined as one array so that the items are read once
     runs = runs.groupBy("pack_name", "tokens").agg(F.sort_array(F.collect_list(F.struct("start", "many", "each", "first"))).alias("runs"))
+    # as many rows as there are sizes: bounded by the capacities, whatever the corpus; only huge capacities are shuffled
+    if len(plans) <= BROADCAST_ROWS:
+        runs = F.broadcast(runs)
     own = F.element_at(F.filter("runs", lambda r: r["start"] <= F.col("rank")), -1)
     return (
         items.join(runs, ["pack_name", "tokens"])

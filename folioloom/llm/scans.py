@@ -303,6 +303,9 @@ class Scans:
         best = ranked.groupBy("word").agg(F.min(F.struct((-F.col("support")).alias("s"), (-F.col("n")).alias("n"), "form")).alias("b"))
         return best.select("word", "b.form")
 
+    def _salted_forms(self) -> DataFrame:
+        return self.forms.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+
     def _pairs(self) -> DataFrame:
         """ahead, word, n: adjacent words in the lines of scans' running text."""
         words = self.running().select(F.filter(F.transform(F.split(_plain(F.col("line")), " "), bare_word), lambda w: w != "").alias("w"))
@@ -339,7 +342,9 @@ class Scans:
         words = tokens.select("doc_id", "id", F.col("id").alias("rest_id"), F.lit(None).cast("string").alias("a"), "word", "inner_name", "odd").unionByName(joined)
         # a digit or sign between small letters is no code, even if the word isn't known
         odd = F.col("odd") & F.col("word").rlike(r"^(?:\p{Ll}{2,}[0-9!|]\p{Ll}+|\p{Ll}+[0-9!|]\p{Ll}{2,})$")
-        seen = words.join(self.forms, "word", "left").filter(F.col("form").isNotNull() & (~F.col("inner_name") | F.col("word").rlike(r"[0-9!|]")) | odd)
+        # frequent words are spread over salts of their nodes
+        words = words.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        seen = words.join(self._salted_forms(), ["word", "_s"], "left").filter(F.col("form").isNotNull() & (~F.col("inner_name") | F.col("word").rlike(r"[0-9!|]")) | odd)
         # the wrong glyph is in the second half where the first one is as it should be
         first_half_right = F.col("a").isNotNull() & F.col("form").isNotNull() & F.coalesce(F.col("form").startswith(F.col("a")), F.lit(False))
         return seen.select("doc_id", F.when(first_half_right, F.col("rest_id")).otherwise(F.col("id")).alias("id"), "word", "form")
@@ -359,7 +364,8 @@ class Scans:
         run = run.join(cuts.select("doc_id", "id", "line_no", "mended", F.lit(1).alias("from_end")), ["doc_id", "id", "line_no", "from_end"], "left")
         moved = cuts.select("doc_id", F.col("rest_id").alias("id"), F.col("rest_line").alias("line_no"), F.lit(0).alias("at"))
         run = run.join(moved, ["doc_id", "id", "line_no", "at"], "left_anti").withColumn("token", F.coalesce("mended", "token"))
-        parts = run.select("doc_id", "id", "line_no", "at", F.explode(F.split(bare_word(F.col("token")), "-")).alias("word")).join(self.forms, "word")
+        parts = run.select("doc_id", "id", "line_no", "at", F.explode(F.split(bare_word(F.col("token")), "-")).alias("word"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_s"))
+        parts = parts.join(self._salted_forms(), ["word", "_s"])
         fixes = parts.groupBy("doc_id", "id", "line_no", "at").agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
         fixed = F.aggregate(
             F.col("fixes"),
