@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.config import BULLETS, NUMBERED, Lists, Sizing
-from folioloom.operators import lists, sizing
+from folioloom.operators import inspect, lists, sizing, tree
 from folioloom.operators.elements import elements, parsed
 from folioloom.plans import formats
-from folioloom.plans.core_queries import _E, _PARSED, _trim
+from folioloom.plans.core_queries import _E, _N, _PARSED, _markup, _nodes, _trim
+from folioloom.sources import markup
 from folioloom.session import checkpointed
 from folioloom.sources.tables import table
 
@@ -54,7 +55,20 @@ def x4_style_lookup(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def a16_titles(s: SparkSession, d: str) -> DataFrame:
+    """Titles inferred from the first sections, overwritten by the metadata's."""
+    n = _nodes(s, d).filter("text_order is not null").select(
+        "doc_id", F.col("node_type").alias("element_type"), F.col("content.text").alias("text"), F.lit(0).alias("page_number"), F.col("text_order").alias("reading_order")
+    )
+    return tree.merge_titles(n, table(s, d, "document_metadata"))
+
+
 QUERIES = {
+    "a14_classes": lambda s, d: inspect.classify(table(s, d, "text_elements")),
+    "a16_titles": a16_titles,
+    "r22_matching": lambda s, d: inspect.matching(table(s, d, "text_elements"), [r"^Page \d+", "(2"]),
+    "x1_pages": lambda s, d: markup.pages(_markup(s, d)).groupBy("doc_id").agg(F.count("*").alias("pages")),
+    "x2_paragraphs": lambda s, d: markup.paragraphs(_markup(s, d)).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), (F.max("paragraph_number") + 1).cast("bigint").alias("last")),
     "r23_pattern_sections": r23_pattern_sections,
     "r24_markers": lambda s, d: lists.markers(_parsed(s, d), LISTS).select("doc_id", "index", "bullet", "numbered"),
     "r25_sequences": lambda s, d: lists.sequences(_parsed(s, d), LISTS),
@@ -71,7 +85,18 @@ _NUMBER = "|".join(f"(?:{p})" for p in NUMBERED)
 _MARKERS = f"""i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order) - 1 AS index, {_trim('text')} AS t FROM {_PARSED}),
 mk AS (SELECT doc_id, index, ({_BULLET}) AS bullet, regexp_matches(t, '{_NUMBER}') AS numbered FROM i WHERE ({_BULLET}) OR regexp_matches(t, '{_NUMBER}'))"""
 
+_SHOWN = f"(SELECT * FROM {_E} WHERE bounding_box IS NOT NULL AND text IS NOT NULL)"
+
 SQL = {
+    "a14_classes": "SELECT DISTINCT doc_id, 'Generic' AS document_type, CAST(0.9 AS DOUBLE) AS confidence FROM text_elements WHERE doc_id IS NOT NULL",
+    "a16_titles": f"""WITH n AS (SELECT * FROM {_N} WHERE text_order IS NOT NULL)
+SELECT d.doc_id, coalesce((SELECT max(title) FROM document_metadata m WHERE m.doc_id = d.doc_id),
+  (SELECT nullif(arg_min({_trim('content.text')}, text_order), '') FROM n WHERE n.doc_id = d.doc_id AND node_type = 'Section')) AS title
+FROM (SELECT DISTINCT doc_id FROM n) d""",
+    "r22_matching": f"""SELECT doc_id, reading_order, '^Page \\d+' AS pattern, substring(text, 1, 50) AS preview FROM {_E} WHERE regexp_matches(text, '^Page \\d+')
+UNION ALL SELECT doc_id, reading_order, '(2', substring(text, 1, 50) FROM {_E} WHERE contains(text, '(2')""",
+    "x1_pages": f"SELECT doc_id, count(DISTINCT page_number) AS pages FROM {_SHOWN} GROUP BY 1",
+    "x2_paragraphs": f"SELECT doc_id, count(*) AS paragraphs, count(*) AS last FROM (SELECT DISTINCT doc_id, page_number, paragraph_number FROM {_SHOWN}) GROUP BY 1",
     "r23_pattern_sections": f"""SELECT doc_id, reading_order, text FROM {_PARSED}
 WHERE ({" OR ".join(f"regexp_matches(text, '{p}')" for p in PATTERNS)})
   AND (style_info.font_size >= CAST({MIN_SIZE} AS FLOAT) OR coalesce(lower(style_info.font_weight) LIKE '%bold%', false))""",
