@@ -319,3 +319,6 @@ _WITH_MARKUP = f"(SELECT DISTINCT doc_id FROM {_E} WHERE bounding_box IS NOT NUL
 SQL["x8_metadata"] = f"""SELECT e.doc_id, replace(m.title, chr(34), chr(39)) AS title FROM {_WITH_MARKUP} e
 LEFT JOIN (SELECT doc_id, max(title) AS title FROM document_metadata GROUP BY 1) m USING (doc_id)"""
 SQL["x9_font_classes"] = f"SELECT DISTINCT f.* FROM font_classes f JOIN {_WITH_MARKUP} e USING (doc_id) WHERE class_name IS NOT NULL"
+SQL["x11_elements"] = f"""WITH s AS (SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY page_number) AS page, {_trim("replace(text, '<', '')")} AS t FROM {_E}
+  WHERE bounding_box.x IS NOT NULL AND bounding_box.y IS NOT NULL AND bounding_box.width IS NOT NULL AND bounding_box.height IS NOT NULL AND text IS NOT NULL)
+SELECT doc_id, count(*) AS n, CAST(sum(strlen(t) // 4) AS BIGINT) AS tokens, CAST(max(page) AS INTEGER) AS pages, CAST(count(*) - 1 AS INTEGER) AS last FROM s WHERE t <> '' GROUP BY 1"""
