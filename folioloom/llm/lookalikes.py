@@ -43,7 +43,6 @@ BLANK = "\t\n\x0b\x0c\r\u0085                 
 SUSPICIOUS = "[^\\u0000-\\u007e]"
 #: Longer looks are no vocabulary words: all their spellings are normalised by table.
 LONGEST = 64
-SALTS = 16
 #: Characters of vocabulary in one trie; a shard with more is cut between two looks.
 TRIE_CHARS = 1_000_000
 
@@ -195,11 +194,10 @@ def canonical_texts(rows: DataFrame, keys: list[str], text_col: str = "text") ->
     plain = base.filter(F.col("text").isNull() | ~odd).withColumn("canonical", _blanks(F.col("text")))
     marked = base.filter(odd).distinct().withColumn("_h", F.xxhash64("text"))
     tokens = marked.select(*keys, "_h", F.posexplode(F.split(_blanks(F.col("text")), " ")).alias("at", "token"))
-    # plain tokens never change; a frequent one of the others is spread over SALTS partitions
+    # plain tokens never change and stay out of the join, so that the most frequent words can't make it uneven
     plain_tokens = tokens.filter(~F.col("token").rlike(SUSPICIOUS))
-    salted = tokens.filter(F.col("token").rlike(SUSPICIOUS)).withColumn("_s", F.pmod("_h", F.lit(SALTS)))
-    spread = changes.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    spelt = salted.join(spread, ["token", "_s"], "left").select(*keys, "_h", "at", F.coalesce("canonical", "token").alias("token")).unionByName(plain_tokens)
+    odd_tokens = tokens.filter(F.col("token").rlike(SUSPICIOUS))
+    spelt = odd_tokens.join(changes, "token", "left").select(*keys, "_h", "at", F.coalesce("canonical", "token").alias("token")).unionByName(plain_tokens)
     whole = spelt.groupBy(*keys, "_h").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("canonical")
     )
