@@ -11,9 +11,13 @@ from folioloom.functions.text import trimmed
 PREVIEW = 50
 
 
-def issues(parsed: DataFrame, max_depth: int) -> DataFrame:
-    """doc_id, issue, reading_order, detail. Several issues of one element are several rows."""
-    p = previous(parsed, ["doc_id"], "reading_order", ["hierarchy_level", "reading_order", "page_number"])
+def issues(parsed: DataFrame, max_depth: int, by_page: bool = False) -> DataFrame:
+    """doc_id, issue, reading_order, detail. Several issues of one element are several rows.
+
+    ``by_page``: elements follow each other by (page, reading order), as after clustering, else by reading order.
+    """
+    order = F.coalesce("page_number", F.lit(0)).cast("bigint") * 1_000_000_000 + F.col("reading_order") if by_page else F.col("reading_order")
+    p = previous(parsed.withColumn("_o", order), ["doc_id"], "_o", ["hierarchy_level", "reading_order", "page_number"])
     ro, level, page = F.col("reading_order"), F.col("hierarchy_level"), F.col("page_number")
     b = lambda n: F.col(f"bounding_box.{n}")
     size = F.octet_length(trimmed(F.col("text")))
@@ -34,8 +38,8 @@ def issues(parsed: DataFrame, max_depth: int) -> DataFrame:
     return p.select("doc_id", "reading_order", F.inline(found)).select("doc_id", "issue", "reading_order", "detail")
 
 
-def quality(parsed: DataFrame, max_depth: int) -> DataFrame:
+def quality(parsed: DataFrame, max_depth: int, by_page: bool = False) -> DataFrame:
     """doc_id, elements, issues, score: one less the issues' share, 0 at least."""
     n = parsed.groupBy("doc_id").agg(F.count("*").alias("elements"))
-    bad = issues(parsed, max_depth).groupBy("doc_id").agg(F.count("*").alias("issues"))
+    bad = issues(parsed, max_depth, by_page).groupBy("doc_id").agg(F.count("*").alias("issues"))
     return n.join(bad, "doc_id", "left").na.fill(0, ["issues"]).withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("issues") / F.col("elements")))

@@ -163,6 +163,8 @@ QUERIES = {
     "r11_clusters": r11_clusters,
     "r15_issues": lambda s, d: validate.issues(_validated(s, d), CLI.headings.max_depth).drop("detail"),
     "r21_quality": lambda s, d: validate.quality(_validated(s, d), CLI.headings.max_depth),
+    "r15_ruled_issues": lambda s, d: _pipeline(s, d).issues.drop("detail"),
+    "r21_ruled_quality": lambda s, d: _pipeline(s, d).quality,
     "g5_places": g5_places,
     "g7_children": g7_children,
     "g12_subtrees": lambda s, d: tree.subtree_ranges(_nodes(s, d)),
@@ -230,6 +232,46 @@ f AS (
                            nullif(list_position(list_transform(f.fonts, lambda x: x < n.size), true), 0), 1) AS INTEGER) END AS new
       FROM f JOIN n ON n.doc_id = f.doc_id AND n.heading = f.heading + 1)))
 """
+_C = CLI.clustering
+_WHOLE = "coalesce(NOT isnan({0}.x + {0}.y + {0}.width + {0}.height), false)"
+#: Sections and paragraphs as r7, merged by paragraph as r10, then with their neighbours on the page by a recursion.
+_RULED = _LEVELS + f""",
+o AS (SELECT p.*, h.reading_order IS NOT NULL AS is_h, count(h.reading_order) OVER (PARTITION BY p.doc_id ORDER BY p.reading_order) - 1 AS heading
+      FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.reading_order = p.reading_order),
+s AS (SELECT o.doc_id, page_number, paragraph_number, reading_order, text, bounding_box, CASE WHEN is_h THEN 'Section' ELSE 'Paragraph' END AS element_type,
+        CAST(CASE WHEN is_h THEN level ELSE coalesce(level, 1) + 1 END AS INTEGER) AS hierarchy_level
+      FROM o LEFT JOIN f ON f.doc_id = o.doc_id AND f.heading = o.heading),
+m1 AS (SELECT doc_id, page_number, min(reading_order) AS reading_order, arg_min(element_type, reading_order) AS element_type, arg_min(hierarchy_level, reading_order) AS hierarchy_level,
+         string_agg(text, ' ' ORDER BY reading_order) AS text, min(bounding_box.x) AS x, min(bounding_box.y) AS y,
+         max(bounding_box.x + bounding_box.width) - min(bounding_box.x) AS width, max(bounding_box.y + bounding_box.height) - min(bounding_box.y) AS height
+       FROM s GROUP BY doc_id, page_number, paragraph_number),
+q AS (SELECT *, strlen(text) AS bytes, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY reading_order) AS place FROM m1),
+u AS (
+  SELECT doc_id, page_number, place, reading_order AS head, element_type, hierarchy_level, bytes, x, y, width, height FROM q WHERE place = 1
+  UNION ALL
+  SELECT doc_id, page_number, place, CASE WHEN joins THEN head ELSE reading_order END, element_type, hierarchy_level, CASE WHEN joins THEN head_bytes ELSE 0 END + bytes,
+    CASE WHEN joins THEN x0 ELSE x END, CASE WHEN joins THEN y0 ELSE y END, CASE WHEN joins THEN x1 - x0 ELSE width END, CASE WHEN joins THEN y1 - y0 ELSE height END FROM (
+    SELECT q.*, u.head, u.bytes + 1 AS head_bytes, least(u.x, q.x) AS x0, least(u.y, q.y) AS y0, greatest(u.x + u.width, q.x + q.width) AS x1, greatest(u.y + u.height, q.y + q.height) AS y1,
+      coalesce(u.element_type = q.element_type AND u.hierarchy_level = q.hierarchy_level AND {_WHOLE.format("u")} AND {_WHOLE.format("q")}
+        AND u.bytes + q.bytes + 1 <= CASE WHEN q.element_type = 'Section' THEN {_C.max_section_size} ELSE {_C.max_paragraph_size} END
+        AND greatest(q.y - (u.y + u.height), u.y - (q.y + q.height)) <= CAST({_C.min_line_height * _C.line_height_multiplier} AS FLOAT)
+        AND greatest(u.x + u.width, q.x + q.width) - least(u.x, q.x) < u.width + q.width + CAST({_C.horizontal_tolerance} AS FLOAT), false) AS joins
+    FROM u JOIN q ON q.doc_id = u.doc_id AND q.page_number = u.page_number AND q.place = u.place + 1)),
+r AS (SELECT u.doc_id, u.page_number, head AS reading_order, any_value(u.element_type) AS element_type, any_value(u.hierarchy_level) AS hierarchy_level,
+        string_agg(q.text, ' ' ORDER BY q.place) AS text, arg_max(struct_pack(x := u.x, y := u.y, w := u.width, h := u.height), u.place) AS b
+      FROM u JOIN q USING (doc_id, page_number, place) GROUP BY u.doc_id, u.page_number, head),
+w AS (SELECT *, strlen({_trim('text')}) AS bytes, lag(hierarchy_level) OVER o AS pl, coalesce(lag(reading_order) OVER o + 1, 0) AS expected, lag(page_number) OVER o AS pp
+      FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY page_number, reading_order)),
+i AS (
+  SELECT doc_id, 'orphaned_element' AS issue, reading_order FROM w WHERE hierarchy_level > {CLI.headings.max_depth}
+  UNION ALL SELECT doc_id, 'hierarchy_jump', reading_order FROM w WHERE hierarchy_level > pl + 1
+  UNION ALL SELECT doc_id, 'reading_order', reading_order FROM w WHERE reading_order < greatest(expected - 5, 0) OR reading_order > expected + 10
+  UNION ALL SELECT doc_id, 'invalid_box', reading_order FROM w WHERE b.x < 0 OR b.y < 0 OR b.w <= 0 OR b.h <= 0
+  UNION ALL SELECT doc_id, 'page_zero', reading_order FROM w WHERE page_number = 0
+  UNION ALL SELECT doc_id, 'page_jump', reading_order FROM w WHERE page_number > pp + 5
+  UNION ALL SELECT doc_id, 'short_section', reading_order FROM w WHERE element_type = 'Section' AND bytes < 3
+  UNION ALL SELECT doc_id, 'long_section', reading_order FROM w WHERE element_type = 'Section' AND bytes > 200)
+"""
 _FLAT = "(SELECT DISTINCT doc_id, id, node_type, location.semantic.depth AS depth, coalesce(token_count, 0) AS v, location.semantic.path AS path FROM nodes WHERE id IS NOT NULL)"
 _SETS = f"(SELECT doc_id, true AS overall, NULL AS node_type, v FROM {_FLAT} UNION ALL SELECT doc_id, false, node_type, v FROM {_FLAT})"
 _HIST = f"""
@@ -282,6 +324,9 @@ UNION ALL SELECT doc_id, 'page_zero', reading_order FROM p WHERE page_number = 0
 UNION ALL SELECT doc_id, 'page_jump', reading_order FROM p WHERE page_number > pp + 5""",
     "r21_quality": f"""WITH i AS (@ISSUES@), e AS (SELECT doc_id, count(*) AS elements FROM {_PARSED} GROUP BY 1),
 b AS (SELECT doc_id, count(*) AS issues FROM i GROUP BY 1)
+SELECT e.doc_id, elements, coalesce(issues, 0) AS issues, greatest(0.0::DOUBLE, 1 - coalesce(issues, 0) / CAST(elements AS DOUBLE)) AS score FROM e LEFT JOIN b ON b.doc_id = e.doc_id""",
+    "r15_ruled_issues": _RULED + "SELECT * FROM i",
+    "r21_ruled_quality": _RULED + """, e AS (SELECT doc_id, count(*) AS elements FROM r GROUP BY 1), b AS (SELECT doc_id, count(*) AS issues FROM i GROUP BY 1)
 SELECT e.doc_id, elements, coalesce(issues, 0) AS issues, greatest(0.0::DOUBLE, 1 - coalesce(issues, 0) / CAST(elements AS DOUBLE)) AS score FROM e LEFT JOIN b ON b.doc_id = e.doc_id""",
     "g5_places": f"""WITH n AS (SELECT * FROM {_N} WHERE text_order IS NOT NULL)
 SELECT c.doc_id, c.text_order, coalesce(p.text_order, -1) AS parent_order, c.location.semantic.path AS path FROM n c LEFT JOIN n p ON p.doc_id = c.doc_id AND p.id = c.parent""",

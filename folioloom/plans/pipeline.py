@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.config import Config, preset
-from folioloom.operators import clustering, headings, lists, profile, sizing, tree, typography
+from folioloom.operators import clustering, headings, lists, profile, sizing, tree, typography, validate
 from folioloom.operators.elements import parsed as base
 from folioloom.session import checkpointed
 
@@ -19,7 +19,7 @@ class Pipeline:
     """Stages over one corpus. Each stage that later ones read several times is written once (a reliable checkpoint).
 
     ``rules`` maps a rule's name to DataFrame -> DataFrame; unknown and disabled rules pass elements through, and more can
-    be registered.
+    be registered. The Validation rule passes elements through too; its report is ``issues`` and ``quality``.
     """
 
     def __init__(self, text_elements: DataFrame, font_classes: DataFrame, metadata: DataFrame | None = None, config: Config | None = None) -> None:
@@ -28,8 +28,9 @@ class Pipeline:
         self.rules: dict[str, Callable[[DataFrame], DataFrame]] = {
             "SectionDetection": lambda df: headings.detect_sections(df, self.sizes, self.config.headings),
             "SpatialClustering": lambda df: clustering.cluster(df, self.config.clustering),
-            "Validation": lambda df: df,
+            "Validation": self._validate,
         }
+        self._validated: DataFrame | None = None
         #: Planning time of each rule, in seconds.
         self.rule_timings: dict[str, float] = {}
 
@@ -41,6 +42,10 @@ class Pipeline:
         self.rules["SizeEnforcer"] = lambda df: sizing.enforce(df, self.config.sizing).drop("part")
         return self
 
+    def _validate(self, df: DataFrame) -> DataFrame:
+        self._validated = df
+        return df
+
     @cached_property
     def parsed(self) -> DataFrame:
         return checkpointed(base(self.text_elements))
@@ -68,6 +73,24 @@ class Pipeline:
                 self.rule_timings[rule.name] = time.time() - began
         return df
 
+    @cached_property
+    def _report_on(self) -> tuple[DataFrame, int, bool]:
+        """What is validated: the elements that reach the Validation rule; where it is off, those after all rules."""
+        ruled = self.ruled
+        names = [r.name for r in self.config.rules if r.enabled] if not self.config.minimal_parse else []
+        if self._validated is not None:
+            names = names[: names.index("Validation")]
+        merged = self.config.clustering.enable_paragraph_merging and "SpatialClustering" in names
+        return ruled if self._validated is None else self._validated, self.config.headings.max_depth, merged
+
+    @cached_property
+    def issues(self) -> DataFrame:
+        return validate.issues(*self._report_on)
+
+    @cached_property
+    def quality(self) -> DataFrame:
+        return validate.quality(*self._report_on)
+
     @cached_property
     def titles(self) -> DataFrame:
         return tree.merge_titles(self.ruled, self.metadata) if self.metadata is not None else self.ruled.select("doc_id").distinct().join(tree.infer_titles(self.ruled), "doc_id", "left")
@@ -90,5 +113,5 @@ class Pipeline:
 
     def dump(self, path: str) -> None:
         """Writes every stage below ``path``."""
-        for name in ("parsed", "analysis", "ruled", "nodes", "profile"):
+        for name in ("parsed", "analysis", "ruled", "issues", "quality", "nodes", "profile"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from folioloom.config import Clustering, Lists, Sizing, for_document_type, load, preset
+from folioloom.config import Clustering, Lists, Rule, Sizing, for_document_type, load, preset
 from folioloom.functions.blocks import before, previous
 from folioloom.functions.ranks import ranked
 from folioloom.operators import clustering, lists, navigate, profile, sizing, tree, validate
@@ -144,6 +144,29 @@ def test_validation_issues(spark):
     assert got == [("invalid_box", 23), ("page_jump", 21), ("page_zero", 22), ("reading_order", 20)]
 
 
+def test_pipeline_validates_ruled_elements(spark):
+    sizes = (30.0, 28.0, 26.0, 24.0, 22.0, 20.0)
+    heads = [element(1, i, "x" * 201 if i == 0 else f"Heading of size {size}", ("f1", "Sans", size, "normal", "bold", "#000"), y=i * 200) for i, size in enumerate(sizes)]
+    # below a heading of level 6 lies level 7; page 2 comes last, though it is read before page 1's last element
+    rows = [*heads, element(1, 6, "body text", page=2), element(1, 7, "more text", y=2000)]
+    te = spark.createDataFrame(rows, TE)
+    fc = spark.createDataFrame([(1, *HEAD), (1, *BODY)], "doc_id bigint, class_name string, font_family string, font_size float, font_style string, font_weight string, color string")
+    c = preset("cli")
+    c.rules = [*c.rules, Rule("Validation")]
+    p = Pipeline(te, fc, None, c)
+    assert sorted((r.issue, r.reading_order) for r in p.issues.collect()) == [("long_section", 0), ("orphaned_element", 6), ("orphaned_element", 7)]
+    assert [(r.elements, r.issues, r.score) for r in p.quality.collect()] == [(8, 3, 0.625)]
+    # validated before any rule, the same elements are all paragraphs of level 1
+    c.rules = [Rule("Validation")]
+    assert Pipeline(te, fc, None, c).issues.count() == 0
+    # every check fires, and only by (page, reading order) does the level jump
+    p = [(1, "Paragraph", "a", 1, 0, 0, 1.0), (1, "Section", "ab", 7, 0, 40, 1.0), (1, "Section", "x" * 201, 3, 9, 2, 0.0)]
+    df = spark.createDataFrame(p, "doc_id bigint, element_type string, text string, hierarchy_level int, page_number int, reading_order int, w float")
+    df = df.withColumn("bounding_box", F.expr("named_struct('x', w, 'y', w, 'width', w, 'height', w)"))
+    got = sorted((r.issue, r.reading_order) for r in validate.issues(df, 6, by_page=True).collect())
+    assert got == [("hierarchy_jump", 40), ("invalid_box", 2), ("long_section", 2), ("orphaned_element", 40), ("page_jump", 2), ("page_zero", 0), ("page_zero", 40), ("reading_order", 2), ("reading_order", 40), ("short_section", 40)]
+
+
 def test_markup_round_trip_and_defects(spark):
     rows = [element(1, 0, "Head", HEAD), element(1, 1, "naïve é", page=2), element(1, 2, "b", page=2)]
     te = spark.createDataFrame(rows, TE)
