@@ -104,6 +104,34 @@ def profile(flat: DataFrame) -> DataFrame:
     return docs.join(types, "doc_id", "left").join(depths, "doc_id", "left").withColumn("document_type", F.lit("Generic")).withColumn("flow_type", F.lit("Fixed"))
 
 
+def structural(flat: DataFrame, created_at: Column | None = None) -> DataFrame:
+    """doc_id, structural_profile: the data model's profile with its distributions, one struct a document.
+
+    ``created_at`` is the time of writing unless given. ``flat`` is read several times.
+    """
+    f = lambda c: F.col(c).cast("float").alias(c)
+    i = lambda c: F.col(c).cast("int").alias(c)
+    bins = histograms(flat).groupBy("doc_id", "overall", "node_type").agg(F.sort_array(F.collect_list(F.struct("bin", i("range_start"), i("range_end"), "count", "token_sum"))).alias("bins"))
+    on = F.col("s.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("s.overall") == F.col("b.overall")) & F.col("s.node_type").eqNullSafe(F.col("b.node_type"))
+    hists = token_statistics(flat).alias("s").join(bins.alias("b"), on).select("s.*", F.transform("b.bins", lambda x: x.dropFields("bin")).alias("bins"))
+    hist = F.struct("bins", "total_count", "total_tokens", f("mean"), f("median"), i("mode"), f("variance"))
+    tokens = hists.groupBy("doc_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(~F.col("overall") & F.col("node_type").isNotNull(), F.struct("node_type", hist.alias("h")))))).alias("by_node_type"),
+        F.max(F.when(F.col("overall"), hist)).alias("overall"),
+    )
+    shares = type_distribution(flat).filter("node_type is not null").groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("node_type", f("percentage"))))).alias("percentages"))
+    created = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") if created_at is None else created_at
+    return profile(flat).join(tokens, "doc_id", "left").join(shares, "doc_id", "left").select(
+        "doc_id",
+        F.struct(
+            created.alias("created_at"), "document_type", "flow_type", "total_nodes", "total_tokens",
+            F.struct("by_node_type", "overall").alias("token_distribution"),
+            F.struct(F.col("type_counts").alias("counts"), "percentages").alias("node_type_distribution"),
+            F.struct(i("max_depth"), "depth_counts", f("avg_depth")).alias("depth_distribution"),
+        ).alias("structural_profile"),
+    )
+
+
 def subtree_nodes(flat: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes of the subtrees of ``roots`` (doc_id, id), with the subtree's root as ``top``.
 

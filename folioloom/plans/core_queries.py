@@ -146,6 +146,20 @@ def x11_elements(s: SparkSession, d: str) -> DataFrame:
     return e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"), F.max("page_number").alias("pages"), F.max("reading_order").alias("last"))
 
 
+def o1_graph_json(s: SparkSession, d: str) -> DataFrame:
+    """Graphs with the metadata, its titles merged with the inferred ones, the font analysis and the structural profile."""
+    n, m = _nodes(s, d), table(s, d, "document_metadata")
+    # repeated rows don't change a title, so their texts needn't move
+    rows = table(s, d, "nodes").filter("id is not null").select("doc_id", F.col("node_type").alias("element_type"), F.col("content.text").alias("text"), F.lit(0).alias("page_number"), F.col("text_order").alias("reading_order"))
+    return formats.graph(n, formats.metadata(m, tree.merge_titles(rows, m)), typography.document_analysis(_te(s, d)))
+
+
+def o2_sequential(s: SparkSession, d: str) -> DataFrame:
+    """The segments' columns that its SQL names; o2_sequential_documents has them whole."""
+    path, page = F.col("location.semantic.path").alias("path"), F.col("location.physical.page").alias("page")
+    return formats.sequential(_nodes(s, d)).select("doc_id", "segment", "node_type", "text", path, page, "tokens")
+
+
 QUERIES = {
     "a1_font_size_counts": lambda s, d: typography.size_counts(_te(s, d)),
     "a2_font_family_counts": lambda s, d: typography.family_counts(_te(s, d)),
@@ -175,8 +189,9 @@ QUERIES = {
     "profile_types": lambda s, d: profile.type_distribution(_flat(s, d)),
     "profile_depths": lambda s, d: profile.depth_distribution(_flat(s, d)),
     "profile_totals": lambda s, d: profile.profile(checkpointed(_flat(s, d))).select("doc_id", "total_nodes", "total_tokens", "max_depth", "avg_depth", "document_type", "flow_type"),
-    "o1_graph_json": lambda s, d: formats.graph(_nodes(s, d)),
-    "o2_sequential": lambda s, d: formats.sequential(_nodes(s, d)),
+    "o1_graph_json": o1_graph_json,
+    "o2_sequential": o2_sequential,
+    "o2_sequential_documents": lambda s, d: formats.sequential_documents(_nodes(s, d)),
     "o3_flat": lambda s, d: formats.flat(_nodes(s, d)).select("doc_id", F.posexplode("chunks").alias("place", "chunk")),
     "o9_text_hashes": lambda s, d: table(s, d, "documents").select("doc_id", formats.text_hash(F.col("text")).alias("hash")),
     "q1_sections": lambda s, d: navigate.of_type(_nodes(s, d), "Section").select("doc_id", "id", F.col("content.text").alias("text")),

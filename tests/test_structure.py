@@ -1,5 +1,6 @@
 """Document-structure operators against brute force and hand-made edge rows."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from folioloom.config import Clustering, Lists, Rule, Sizing, for_document_type, load, preset
 from folioloom.functions.blocks import before, previous
 from folioloom.functions.ranks import ranked
-from folioloom.operators import clustering, lists, navigate, profile, sizing, tree, validate
+from folioloom.operators import clustering, lists, navigate, profile, sizing, tree, typography, validate
 from folioloom.operators.elements import parsed
 from folioloom.operators.headings import next_level
 from folioloom.plans import formats
@@ -206,6 +207,47 @@ def test_pipeline_invariants(spark):
     assert formats.uncached(md.select(F.lit("a").alias("cache_hash")), md.select(F.lit("a").alias("cache_hash"))).count() == 0
 
 
+def test_formats_are_whole(spark):
+    ddl = "doc_id bigint, id string, node_type string, location struct<semantic:struct<path:string,depth:int,breadcrumbs:array<string>>,physical:struct<page:int,bounding_box:struct<x:float,y:float,width:float,height:float>>>, text_order int, content struct<text:string>, style_info struct<font_class:string,font_size:float>, token_count bigint, parent string, children array<string>"
+    box = (1.0, 2.0, 3.0, 4.0)
+    rows = [
+        (1, "p", "Paragraph", (("1.1", 2, ["S"]), (1, box)), 1, ("text",), None, 4, "s", []),
+        (1, "r", "Document", (("", 0, []), None), None, ("Document",), None, 0, None, ["s"]),
+        (1, "s", "Section", (("1", 1, ["S"]), (1, box)), 0, ("S",), ("f1", 20.0), 1, "r", ["p"]),
+    ]
+    n = spark.createDataFrame(rows, ddl)
+    hist = lambda v: {"bins": [{"range_start": v, "range_end": v + 1, "count": 1, "token_sum": v}], "total_count": 1, "total_tokens": v, "mean": v, "median": v, "mode": v, "variance": 0}
+    bins = [{"range_start": k, "range_end": k + 1, "count": int(k < 2), "token_sum": int(k == 1)} for k in range(4)]
+    profiled = {
+        "created_at": "now", "document_type": "Generic", "flow_type": "Fixed", "total_nodes": 3, "total_tokens": 5,
+        "token_distribution": {
+            "by_node_type": {"Document": hist(0), "Section": hist(1), "Paragraph": hist(4)},
+            "overall": {"bins": bins, "total_count": 3, "total_tokens": 5, "mean": 1.6667, "median": 1, "mode": 1, "variance": 4.3333},
+        },
+        "node_type_distribution": {"counts": {"Document": 1, "Section": 1, "Paragraph": 1}, "percentages": {"Document": 33.3333, "Section": 33.3333, "Paragraph": 33.3333}},
+        "depth_distribution": {"max_depth": 2, "depth_counts": {"0": 1, "1": 1, "2": 1}, "avg_depth": 1},
+    }
+    load = lambda text: json.loads(text, parse_float=lambda x: round(float(x), 4))
+    md = spark.createDataFrame([(1, None, "A", 3, True)] * 2, "doc_id bigint, title string, author string, page_count int, encrypted boolean")
+    md = md.select("*", *[F.lit(None).cast("string").alias(c) for c in formats.METADATA if c not in md.columns])
+    info = formats.metadata(md, tree.merge_titles(n.select("doc_id", F.col("node_type").alias("element_type"), F.col("content.text").alias("text"), F.lit(0).alias("page_number"), F.col("text_order").alias("reading_order")), md))
+    te = spark.createDataFrame([element(1, 0, "S", HEAD), element(1, 1, "te"), element(1, 2, "xt")], TE)
+    g = load(formats.graph(n, info, typography.document_analysis(te), F.lit("now")).first().json)
+    assert g["structural_profile"] == profiled and [x["id"] for x in g["nodes"]] == ["r", "s", "p"]
+    assert g["document_info"]["document_metadata"] == dict.fromkeys(formats.METADATA) | {"title": "S", "author": "A", "page_count": 3, "encrypted": True}
+    a = g["document_info"]["document_analysis"]
+    assert (a["all_font_sizes"], a["bold_counts"], a["font_size_counts"], a["most_common_font_family"]) == ([10, 10, 20], [1, 2], {"10.0": 2, "20.0": 1}, "Serif")
+    q = formats.sequential_documents(n, F.lit("now"))
+    q = load(q.select(F.to_json(F.struct("format", "segments", "structural_profile"), {"ignoreNullFields": "false"})).first()[0])
+    place = lambda path, depth, crumbs: {"path": path, "depth": depth, "breadcrumbs": crumbs}
+    at = {"page": 1, "bounding_box": {"x": 1, "y": 2, "width": 3, "height": 4}}
+    assert q == {"format": "sequential", "structural_profile": profiled, "segments": [
+        {"id": 0, "node_type": "Document", "text": "Document", "location": {"semantic": place("", 0, []), "physical": None}, "style": None, "tokens": 0},
+        {"id": 1, "node_type": "Section", "text": "S", "location": {"semantic": place("1", 1, ["S"]), "physical": at}, "style": {"font_class": "f1", "font_size": 20}, "tokens": 1},
+        {"id": 2, "node_type": "Paragraph", "text": "text", "location": {"semantic": place("1.1", 2, ["S"]), "physical": at}, "style": None, "tokens": 4},
+    ]}
+
+
 def test_render(spark):
     ddl = "doc_id bigint, id string, node_type string, location struct<semantic:struct<path:string,depth:int,breadcrumbs:array<string>>,physical:struct<page:int>>, text_order int, content struct<text:string>, token_count bigint, parent string, children array<string>"
     rows = [
