@@ -1,25 +1,29 @@
 """Noise in text from scanned pages (problem 3).
 
-Documents count as scanned if most of their longer paragraphs and list items are broken into printed lines. In them
+No column says which documents are scanned, and their lines may stand apart or run together. Documents count as scanned by
+evidence: words cut in two that the vocabulary knows whole, digits or signs inside known words, and page numbers. In them
 
 * words are grouped by a confusable-glyph skeleton, under which glyphs that scanners mix up are one stroke class; a rare
   form whose group has a far more frequent one, from which it differs by listed confusions only, is a misread of it;
 * lines are masked (digits and roman numerals out, then the skeleton) to find running heads: masked lines that come
-  again in the document, repeat its title or a heading, or stand beside a page number;
-* the remaining lines are reflowed by SQL windows: a word cut at a line or page end is joined with the rest of it in the
-  next line of running text.
-
-Vocabulary, heads and statistics cover all documents. Windows over a document's nodes run by blocks of text order whose
-borders are bridged by one summary row a block, since one document may hold a third of all nodes.
-
-Defined results: null texts and ids give nothing; empty lines are skipped; repeated rows count once; nodes without a text
-order take no part in joins across nodes; of several forms the one with the fewest confusions is
-taken, then the one that the words before support most, then the more frequent, then the smaller one; documents without wrapped paragraphs are no scans and give nothing.
+  again in the document, repeat its title or a heading, or stand beside a page number. Where lines run together, page
+  numbers, capitals and the document's masked heads are found inside the text;
+* the remaining text is reflowed: a word cut at a line or page end, or before a head, is joined with the rest of it. SQL
+  windows over the nodes' order lead from a page's last line to the next page's first one.
+
+Vocabulary, heads and statistics cover all documents. Texts stay where they are read; only candidates (short lines, cuts,
+rare tokens) move between tasks. Windows over a document's nodes run by blocks of text order whose borders are bridged by
+one summary row a block, since one document may hold a third of all nodes.
+
+Defined results: null texts, ids and documents give nothing; empty lines are skipped; repeated rows count once; nodes without a
+text order take no part in joins across nodes; of several forms the one with the fewest confusions is taken, then the one
+that the words before support most, then the more frequent, then the smaller one; documents without evidence give nothing.
 """
 
 from __future__ import annotations
 
 import functools
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +32,18 @@ from pyspark.sql import functions as F
 from folioloom.llm.lookalikes import BLANK, IGNORABLE, LOOKALIKES
 from folioloom.session import checkpointed
 
-#: A document is scanned if at least this share of its paragraphs and items of over LONG characters are wrapped.
-WRAPPED_SHARE, LONG = 0.6, 100
+#: A printed line has at most so many characters; a longer stretch is no page head by itself.
+LINE = 200
+#: Of a paragraph's lines, those of at most this part of the widest one's length are short.
+SHORT = 0.85
+#: Long texts of which at least this share stands in lines are one sign of a scan.
+PRINTED = 0.6
 #: A misread form is at most this part as frequent as the true one, and still rarer in documents that aren't scanned.
 RARER, RARER_CLEAN = 10, 50
 #: Confusions allowed in one word.
 MOST_CONFUSIONS = 2
-SALTS = 32
+#: Frequent tokens, none of them misread, that are dropped before tokens move; it bounds a broadcast and decides no result.
+FREQUENT = 4096
 BLOCK = 512
 #: What is printed, and what a scanner makes of it.
 CONFUSIONS = (
@@ -46,11 +55,29 @@ GLYPHS_FROM, GLYPHS_TO = "ceoa04" "ft" "s5z2" "g9q" "il1!|r" "68", "cccccc" "tt"
 STROKES = (("n", "ii"), ("u", "ii"), ("h", "ii"), ("b", "ii"), ("m", "iii"), ("d", "ci"), ("w", "vv"))
 #: Hyphens at a line's end.
 HYPHENS = "-‐‑¬­"
-_NUMBER = r"(?:(?:p[aoe4]g[ec]|p\.|pg\.|seite)\s*)?[\[(—–-]?\s*(?:[0-9lIO|!]{1,4}|[ivxlc]{1,8}|[IVXLC]{1,8})\s*[\])—–.-]?(?:\s*(?:of|o[fl]|von|/)\s*[0-9lIO|!]{1,4})?"
+_DIGITS = "[0-9lIO|!]+"
+_NUMBER = rf"(?:(?:p[aoe4]g[ec]|p\.|pg\.|seite)\s*)?[\[(—–-]?\s*(?:{_DIGITS}|[ivxlc]+|[IVXLC]+)\s*[\])—–.-]?(?:\s*(?:of|o[fl]|von|/)\s*{_DIGITS})?"
 NUMBER_LINE = rf"^(?i:{_NUMBER})$"
 DECORATED = r"^(?i:(?:p[aoe4]g[ec]|p\.|pg\.|seite)\s*.*|[\[(—–-].*)$"
-HEAD_AND_NUMBER = rf"^(?:(?i:{_NUMBER})(?:\s{{2,}}|\s*\|\s*)\S.{{0,90}}|\S.{{0,90}}(?:\s{{2,}}|\s*\|\s*)(?i:{_NUMBER}))$"
+_APART = r"(?:\s{2,}|\s*\|\s*)"
+HEAD_AND_NUMBER = rf"^(?:(?i:{_NUMBER}){_APART}\S.*|\S.*?{_APART}(?i:{_NUMBER}))$"
 HAS_LETTERS = r"\p{L}{2}"
+#: Page numbers inside running text: with a sign of their own, or bare ones set apart by blanks or a bar.
+_SIGNED = rf"(?:(?i:p[aoe4]g[ec]|seite) {_DIGITS}(?: (?:of|o[fl]|von) {_DIGITS})?|(?i:p)\. ?{_DIGITS}|[—–-] {_DIGITS} [—–-]|\[{_DIGITS}\])"
+_BARE = rf"(?:{_DIGITS}|[ivxlc]+)\.?"
+_CAPITALS = r"(?:\p{Lu}{2,}|\p{Lu}[\p{Lu}0-9]{3,})(?: (?:\p{Lu}{2,}|\p{Lu}[\p{Lu}0-9]{3,}))+"
+_AFTER_TEXT = rf"(?<=[\p{{Ll}}\p{{N}}.,;:!?){HYPHENS}] )"
+SPAN = (
+    rf"{_AFTER_TEXT}(?:(?:{_SIGNED}|{_BARE})(?: {{2,}}| \| )|{_SIGNED} )?{_CAPITALS}(?:(?: {{2,}}| \| | )(?:{_SIGNED}|{_BARE})(?= ))?(?= +\S*\p{{Ll}})"
+    rf"|{_AFTER_TEXT}(?:\| )?{_SIGNED}(?= )|{_AFTER_TEXT}\| {_BARE}(?= )"
+    rf"|(?<=[^\s{HYPHENS}]) {{2,}}{_BARE}(?= )|{_AFTER_TEXT}{_BARE} {{2,}}(?=\p{{Lu}})"
+)
+#: A cut word inside a line, in groups: first half, hyphen, rest.
+CUT = rf"(\S*\p{{L}})([{HYPHENS}])[ \t]+([\p{{Ll}}0-9!|]\S*)"
+HAS_CUT = rf"\p{{L}}[{HYPHENS}](?:\s|$)"
+#: A digit or sign between small letters.
+ODD = r"\p{Ll}[0-9!|]\p{Ll}"
+ODD_TOKEN = rf"(?<!\S)\S*{ODD}\S*"
 
 
 def _plain(text: Column) -> Column:
@@ -80,7 +107,7 @@ def skeleton(word: Column) -> Column:
 
 def masked(line: Column) -> Column:
     """A line without its numbers, as a coarse skeleton that also bridges the confusions of capitals."""
-    bare = F.regexp_replace(line, rf"^(?i:{_NUMBER})(?:\s{{2,}}|\s*\|\s*)|(?:\s{{2,}}|\s*\|\s*)(?i:{_NUMBER})$", "")
+    bare = F.regexp_replace(line, rf"^(?i:{_NUMBER}){_APART}|{_APART}(?i:{_NUMBER})$", "")
     bare = F.regexp_replace(_plain(bare), r"[\p{P}\p{S}\s]|\d(?=\d)", "")
     return F.translate(skeleton(bare), "tv", "ci")
 
@@ -123,145 +150,190 @@ def confusions_between(seen: str, true: str, most: int = MOST_CONFUSIONS) -> int
     return None
 
 
-def _choose(words: pd.Series, counts: pd.Series, cleans: pd.Series, forms: pd.Series) -> pd.Series:
-    """The far more frequent forms that the fewest confusions lead to; mostly one."""
-    out = []
-    for w, n, clean, cand in zip(words, counts, cleans, forms):
-        least, best = MOST_CONFUSIONS + 1, []
-        for c in cand:
-            if c["word"] == w or c["n"] < RARER * n or (clean and c["clean"] < RARER_CLEAN * clean):
-                continue
-            cost = confusions_between(w, c["word"])
-            if cost and cost <= least:
-                best = [*best, c] if cost == least else [c]
-                least = cost
-        out.append([{"form": c["word"], "n": int(c["n"])} for c in best])
-    return pd.Series(out, dtype=object)
+def _costs(seen: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([confusions_between(s, t) for s, t in zip(seen, true)], dtype="Int32")
+
+
+def _cost(seen: str, true: str) -> Column:
+    return F.pandas_udf(_costs, "int")(seen, true)
+
+
+def _keys(word: Column) -> Column:
+    """The skeletons under which a seen word looks for its true form: its own, and those with an f as the e it may be."""
+    at = F.filter(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.substr(word, i, F.lit(1)) == "f")
+    return F.array_distinct(F.concat(F.array(skeleton(word)), F.transform(at, lambda i: skeleton(F.overlay(word, F.lit("e"), i, F.lit(1))))))
+
+
+def _strip(line: Column) -> Column:
+    return F.regexp_replace(line, r"^[\s\x{200b}-\x{200f}\x{2060}\x{feff}]+|[\s\x{200b}-\x{200f}\x{2060}\x{feff}]+$", "")
+
+
+def _yes(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
 
-def _true_forms(*columns) -> Column:
-    return F.pandas_udf(_choose, "array<struct<form:string,n:bigint>>")(*columns)
+def _tokens(text: Column) -> Column:
+    return F.split(F.translate(_plain(text), "\n\t", "  "), " ")
+
+
+def _name() -> Column:
+    """Whether a token with a capital stands neither first in its line nor after the end of a sentence: it may be a name."""
+    return F.col("token").rlike(r"^[\"'(\[]*\p{Lu}") & _yes(~F.col("ahead").rlike(r"(?:[.!?:][\"')\]]*|^[–•*]|^\(?\w{1,3}[.)])$"))
 
 
 class Scans:
-    """The stages for one pair of tables; each is a DataFrame."""
+    """The stages for one pair of tables; each is a DataFrame, made when it is first asked for."""
 
     def __init__(self, nodes: DataFrame, metadata: DataFrame) -> None:
-        n = nodes.filter("content.text is not null and id is not null and node_type is not null").select(
+        self.nodes = nodes.filter("content.text is not null and id is not null and node_type is not null").select(
             "doc_id", "id", "node_type", "text_order", F.col("content.text").alias("text"), F.col("style_info.font_size").alias("size"),
-            F.col("location.physical.bounding_box.y").alias("y"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"),
+            F.col("location.physical.bounding_box.y").alias("y"),
         )
-        long = F.col("node_type").isin("Paragraph", "ListItem") & (F.char_length("text") > LONG)
-        wrapped = F.col("text").contains("\n")
-        body = wrapped & F.col("node_type").isin("Paragraph", "ListItem")
-        docs = (
-            n.groupBy("doc_id")
-            .agg(
-                F.count_if(long).alias("paragraphs"),
-                F.count_if(long & wrapped).alias("wrapped"),
-                F.mode(F.when(body, F.col("size"))).alias("body_size"),
-                F.min(F.when(body | (F.col("node_type") == "Section"), F.col("y"))).alias("top"),
-                F.max(F.when(body | (F.col("node_type") == "Section"), F.col("y"))).alias("bottom"),
-            )
-            .withColumn("scanned", (F.col("paragraphs") > 0) & (F.col("wrapped") >= WRAPPED_SHARE * F.col("paragraphs")))
-        )
-        spread = docs.filter("scanned").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        #: The nodes of scanned documents, once each, with their documents' measures.
-        self.nodes = checkpointed(n.join(spread.drop("paragraphs", "wrapped", "scanned"), ["doc_id", "salt"]).dropDuplicates(["doc_id", "salt", "id"]).drop("salt"))
-        self.all_nodes, self.metadata = n, metadata
-        self.lines = checkpointed(self._lines())
-        self.cuts = checkpointed(self._cuts())
-        #: Words of the corpus: word, n, clean (n outside wrapped texts).
-        self.words = checkpointed(self._words())
-        self.forms = checkpointed(self._forms())
+        self.metadata = metadata
+        self.body = self.nodes.filter("doc_id is not null and node_type in ('Paragraph', 'ListItem')")
 
     # -- lines and furniture
 
-    def _lines(self) -> DataFrame:
-        """Lines of scanned nodes: keys, line_no, n_lines, line (without the hyphen's tail blanks), furniture."""
-        lines = self.nodes.withColumn("parts", F.split("text", "\n")).select(
-            "doc_id", "id", "node_type", "text_order", "size", "y", "body_size", "top", "bottom",
-            F.size(F.filter("parts", lambda p: F.trim(p) != "")).alias("n_lines"),
-            F.array_max(F.transform("parts", lambda p: F.char_length(p))).alias("widest"),
-            F.posexplode("parts").alias("line_no", "line"),
-        )
-        lines = lines.withColumn("line", F.regexp_replace("line", r"^[\s\x{200b}-\x{200f}\x{2060}\x{feff}]+|[\s\x{200b}-\x{200f}\x{2060}\x{feff}]+$", "")).filter("line <> ''")
-        at = Window.partitionBy("doc_id", "id").orderBy("line_no")
-        number = F.col("line").rlike(NUMBER_LINE)
-        both = F.col("line").rlike(HEAD_AND_NUMBER) & F.col("line").rlike(HAS_LETTERS)
-        last = F.lead("line").over(at).isNull()
-        before = F.lag("line").over(at)
-        lines = (
-            lines.withColumn("number", number)
-            .withColumn("both", both)
-            .withColumn("decorated", F.col("line").rlike(DECORATED))
-            .withColumn("last", last)
-            .withColumn("before", before)
-            .withColumn("beside", F.coalesce(F.lag("number").over(at), F.lit(False)) | F.coalesce(F.lead("number").over(at), F.lit(False)))
-            .withColumn("beside", F.col("beside") | F.coalesce(F.lag("both").over(at), F.lit(False)) | F.coalesce(F.lead("both").over(at), F.lit(False)))
-            .withColumn("short", F.char_length("line") <= F.least(F.lit(90), 0.85 * F.col("widest")))
-            .withColumn("mask", F.when((F.char_length("line") <= 100) & ~F.col("number"), F.nullif(masked(F.col("line")), F.lit(""))))
+    @cached_property
+    def pages(self) -> DataFrame:
+        """doc_id, body_size (that of most characters), top and bottom of long texts and headings, printed (whether long texts stand in lines)."""
+        long = (F.char_length("text") > LINE / 2) & F.col("node_type").isin("Paragraph", "ListItem")
+        in_lines = F.count_if(long & F.col("text").contains("\n"))
+        y = F.when(long | (F.col("node_type") == "Section"), F.col("y"))
+        sizes = self.nodes.groupBy("doc_id", "size").agg(F.sum(F.when(long, F.char_length("text"))).alias("w"), F.min(y).alias("top"), F.max(y).alias("bottom"), in_lines.alias("l"), F.count_if(long).alias("n"))
+        pages = sizes.filter("doc_id is not null").groupBy("doc_id").agg(
+            F.max_by("size", F.struct("w", "size")).alias("body_size"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), ((F.sum("n") > 0) & (F.sum("l") >= PRINTED * F.sum("n"))).alias("printed")
         )
-        # texts that heads repeat: title and headings of the document; and masks that come again among single-line paragraphs and short lines
-        titles = self.metadata.select("doc_id", masked(F.col("title")).alias("mask")).filter("mask <> ''")
-        headings = self.nodes.filter("node_type = 'Section'").select("doc_id", masked(F.col("text")).alias("mask")).filter("mask <> ''")
-        named = titles.unionByName(headings).distinct().withColumn("named", F.lit(True))
-        candidate = F.col("node_type").eqNullSafe("Paragraph") & (F.col("n_lines") == 1) | (F.col("n_lines") > 1) & F.col("short")
-        again = (
-            lines.filter(candidate & F.col("mask").isNotNull() & ~F.col("line").rlike(r"[.!?:;,]$"))
-            .groupBy("doc_id", "mask")
-            .agg(F.count("*").alias("times"))
-            .filter("times > 1")
-            .select("doc_id", "mask", F.lit(True).alias("again"))
+        return checkpointed(pages)
+
+    def _candidates(self) -> DataFrame:
+        """Lines that may be furniture, with their neighbours: short ones, ones with a number, and paragraphs of one line."""
+        keys = ["doc_id", "id", "node_type", "size", "y"]
+        split = F.filter(F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.alias("line_no"), _strip(p).alias("line"))), lambda x: x["line"] != "")
+        many = self.body.filter(F.col("text").contains("\n")).select(*keys, split.alias("lines")).filter("size(lines) > 0")
+        many = many.withColumn("widest", F.array_max(F.transform("lines", lambda x: F.char_length(x["line"]))))
+        beside = F.transform(
+            "lines",
+            lambda x, i: F.struct(
+                x["line_no"].alias("line_no"), x["line"].alias("line"), F.get("lines", i - 1)["line"].alias("before"), F.get("lines", i + 1)["line"].alias("after")
+            ),
+        )
+        many = many.select(*keys, "widest", F.size("lines").alias("n_lines"), F.inline(beside)).filter((F.char_length("line") <= SHORT * F.col("widest")) | F.col("line").rlike(HEAD_AND_NUMBER) | (F.col("n_lines") == 1))
+        none = F.lit(None).cast("string")
+        one = self.body.filter((F.col("node_type") == "Paragraph") & ~F.col("text").contains("\n") & (F.char_length("text") <= LINE)).select(
+            *keys, F.char_length("text").alias("widest"), F.lit(1).alias("n_lines"), F.lit(0).alias("line_no"), _strip(F.col("text")).alias("line"), none.alias("before"), none.alias("after")
         )
-        known = named.join(again, ["doc_id", "mask"], "full")
-        lines = lines.join(known, ["doc_id", "mask"], "left")
-        yes = lambda c: F.coalesce(c, F.lit(False))
-        small = yes(F.col("size") < F.col("body_size")).cast("int")
-        margin = yes((F.col("y") < F.col("top")) | (F.col("y") > F.col("bottom"))).cast("int")
-        pattern = (F.col("number") | F.col("both")).cast("int")
-        head = (yes(F.col("named")) | yes(F.col("again"))).cast("int")
-        sure = (F.col("number") & F.col("decorated") & ~F.col("line").rlike(r"^[(\[—–-]?\s*\d+[.)]$") | F.col("both")).cast("int")
-        whole = F.col("node_type").eqNullSafe("Paragraph") & (F.col("n_lines") == 1) & (F.char_length("line") <= 100) & (small + margin + pattern + head + sure >= 2)
-        caps = F.col("line").rlike(r"\p{Lu}{2}") & ~F.col("line").rlike(r"\p{Ll}")
-        ended = F.coalesce(F.col("before").rlike(r"[.!?:][\"')\]]*$"), F.lit(False))
-        inner_number = F.col("number") & (~F.col("last") | F.col("decorated") | ended)
+        return many.unionByName(one).filter("line <> ''")
+
+    @cached_property
+    def furniture(self) -> DataFrame:
+        """doc_id, id, line_no, furniture, sure: lines of heads, feet and page numbers, if the document is a scan."""
+        line = F.col("line")
+        both = lambda c: _yes(c.rlike(HEAD_AND_NUMBER) & c.rlike(HAS_LETTERS))
+        number = lambda c: _yes(c.rlike(NUMBER_LINE))
+        single = F.col("n_lines") == 1
+        c = self._candidates().join(self.pages, "doc_id").withColumn("number", number(line)).withColumn("both", both(line))
+        c = c.withColumn("short", F.char_length("line") <= SHORT * F.col("widest")).withColumn("decorated", line.rlike(DECORATED))
+        small = _yes(F.col("size") < F.col("body_size")).cast("int")
+        margin = _yes((F.col("y") < F.col("top")) | (F.col("y") > F.col("bottom"))).cast("int")
+        sure = (F.col("number") & F.col("decorated") & ~line.rlike(r"^[(\[—–-]?\s*\d+[.)]$") | F.col("both")).cast("int")
+        c = c.withColumn("signs", small + margin + (F.col("number") | F.col("both")).cast("int") + sure)
+        # a mask decides only where another sign speaks for a whole paragraph, or for a short line
+        c = c.withColumn("mask", F.when(~F.col("number") & F.when(single, F.col("signs") > 0).otherwise(F.col("short") | F.col("both")), F.nullif(masked(line), F.lit(""))))
+        c = checkpointed(c.drop("size", "y", "body_size", "top", "bottom", "printed").distinct())
+        titles = self.metadata.select("doc_id", masked(F.col("title")).alias("mask")).filter("mask <> ''")
+        headings = self.nodes.filter("node_type = 'Section' and doc_id is not null").select("doc_id", masked(F.col("text")).alias("mask")).filter("mask <> ''")
+        again = c.filter(F.col("mask").isNotNull() & (single & F.col("node_type").eqNullSafe("Paragraph") | ~single & F.col("short")) & ~line.rlike(r"[.!?:;,]$"))
+        again = again.groupBy("doc_id", "mask").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id", "mask")
+        heads = titles.unionByName(headings).unionByName(again).distinct().withColumn("head", F.lit(True))
+        c = c.filter("mask is not null").join(heads, ["doc_id", "mask"], "left").unionByName(c.filter("mask is null").withColumn("head", F.lit(False)))
+        head = _yes(F.col("head"))
+        whole = single & F.col("node_type").eqNullSafe("Paragraph") & (F.col("signs") + head.cast("int") >= 2)
+        caps = line.rlike(r"\p{Lu}{2}") & ~line.rlike(r"\p{Ll}")
+        ended = _yes(F.col("before").rlike(r"[.!?:][\"')\]]*$"))
+        inner_number = F.col("number") & (F.col("after").isNotNull() | F.col("decorated") | ended)
         # a head that comes once shows by the page number beside it, or by its capitals
-        alone = F.col("beside") & (F.char_length("line") <= 0.7 * F.col("widest")) & F.col("line").rlike(r"^[\p{Lu}\p{N}]") & ~F.col("line").rlike(r"[.!?]\s")
-        inner_head = F.col("short") & ~F.col("line").rlike(r"[.!?;,]$") & (head.cast("boolean") | alone | caps & ~F.col("last"))
-        inside = F.col("node_type").isin("Paragraph", "ListItem") & (F.col("n_lines") > 1) & (inner_number | F.col("both") | inner_head)
-        return lines.select(
-            "doc_id", "id", "node_type", "text_order", "line_no", "n_lines", "line",
-            F.when(whole, "furniture").when(inside, "inline_furniture").alias("furniture"),
-        )
-
-    def running(self) -> DataFrame:
-        """Lines of running text."""
-        return self.lines.filter("furniture is null and node_type in ('Paragraph', 'ListItem')")
-
-    # -- reflow
-
-    def _cuts(self) -> DataFrame:
-        """Lines of running text that end in a hyphen: keys, first half, hyphen, second half, node of the second half."""
-        run = self.running().withColumn("first", F.regexp_extract("line", r"^\S+", 0)).select("doc_id", "id", "text_order", "line_no", "line", "first")
-        at = Window.partitionBy("doc_id", "id").orderBy("line_no")
-        inner = run.withColumn("next", F.lead("first").over(at)).withColumn("next_line", F.lead("line_no").over(at)).withColumn("start_line", F.first("line_no").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("start", F.first("first").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        # each node's last line goes on with the next node's first one; blocks of text order bound the windows
-        tails = inner.filter("next is null").withColumn("block", F.floor(F.col("text_order") / BLOCK))
-        in_block = Window.partitionBy("doc_id", "block").orderBy("text_order", "id")
-        tails = tails.withColumn("follow", F.lead(F.struct("start", "id", "start_line")).over(in_block))
-        heads = tails.filter("block is not null").groupBy("doc_id", "block").agg(F.min(F.struct("text_order", "id", "start", "start_line")).alias("h"))
-        bridge = heads.withColumn("onward", F.lead(F.struct("h.start", "h.id", "h.start_line")).over(Window.partitionBy("doc_id").orderBy("block"))).select("doc_id", "block", "onward")
-        tails = tails.filter(F.col("text_order").isNotNull()).join(bridge, ["doc_id", "block"], "left").withColumn("follow", F.coalesce("follow", "onward"))
-        ends = F.col("line").rlike(rf"\p{{L}}[{HYPHENS}]$")
-        part = [F.regexp_extract("line", rf"(\S+)[{HYPHENS}]$", 1).alias("half"), F.regexp_extract("line", r"(.)$", 1).alias("hyphen")]
-        inside = inner.filter(F.col("next").isNotNull() & ends).select("doc_id", "id", "line_no", *part, F.col("next").alias("rest"), F.col("id").alias("rest_id"), F.col("next_line").alias("rest_line"))
-        across = tails.filter(F.col("follow").isNotNull() & ends).select("doc_id", "id", "line_no", *part, F.col("follow.start").alias("rest"), F.col("follow.id").alias("rest_id"), F.col("follow.start_line").alias("rest_line"))
-        both = inside.unionByName(across)
+        beside = number(F.col("before")) | number(F.col("after")) | both(F.col("before")) | both(F.col("after"))
+        alone = beside & (F.char_length("line") <= 0.7 * F.col("widest")) & line.rlike(r"^[\p{Lu}\p{N}]") & ~line.rlike(r"[.!?]\s")
+        inner_head = F.col("short") & ~line.rlike(r"[.!?;,]$") & (head | alone | caps & F.col("after").isNotNull())
+        inside = ~single & (inner_number | F.col("both") | inner_head)
+        found = c.withColumn("furniture", F.when(whole, "furniture").when(inside, "inline_furniture")).filter("furniture is not null")
+        pattern = F.col("both") | F.col("number") & F.when(single, F.col("signs") > 1).otherwise(F.col("decorated") & F.col("after").isNotNull())
+        return checkpointed(found.select("doc_id", "id", "line_no", "furniture", pattern.alias("sure"), "line", F.when(~F.col("number"), F.col("mask")).alias("mask")))
+
+    # -- running text
+
+    def _flat(self) -> DataFrame:
+        """Paragraphs and items with the page numbers and capitals of heads taken out where lines run together."""
+        one = ~F.col("text").contains("\n")
+        flat = F.when(one & F.col("text").rlike(SPAN), F.regexp_replace("text", SPAN, " ")).otherwise(F.col("text"))
+        return self.body.select("doc_id", "id", "node_type", "text_order", "text", flat.alias("flat"))
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        """doc_id, id, text_order, kind, line_no, half, hyphen, rest, followers: what a look at each text alone shows.
+
+        kind 'span' is a head or number inside a line, 'odd' a token with a digit or sign between its letters (in half),
+        'cut' a word cut inside a line, 'end' a line that ends in a hyphen, with the first tokens of the lines that follow.
+        """
+        flat = F.col("flat")
+        cut = flat.rlike(HAS_CUT)
+        f = self._flat().withColumn("spanned", flat != F.col("text"))
+        f = f.filter(F.col("spanned") | cut | flat.rlike(ODD))
+        none, no = F.lit(None).cast("string"), F.lit(-1)
+        row = lambda kind, n, half, hyphen, rest, more: F.struct(F.lit(kind).alias("kind"), n.alias("line_no"), half.alias("half"), hyphen.alias("hyphen"), rest.alias("rest"), more.alias("followers"))
+        nobody = F.array().cast("array<struct<line_no:int,first:string>>")
+        f = f.withColumn("lines", F.when(cut, F.filter(F.transform(F.split("flat", "\n"), lambda p, i: F.struct(i.alias("line_no"), _strip(p).alias("line"))), lambda x: x["line"] != "")))
+        f = f.withColumn("firsts", F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), F.regexp_extract(x["line"], r"^\S+", 0).alias("first"))))
+        inside = F.flatten(
+            F.transform(
+                F.filter("lines", lambda x: x["line"].rlike(CUT)),
+                lambda x: F.transform(
+                    F.regexp_extract_all(x["line"], F.lit(CUT), F.lit(0)),
+                    lambda m: row("cut", x["line_no"], F.regexp_extract(m, CUT, 1), F.regexp_extract(m, CUT, 2), F.regexp_extract(m, CUT, 3), nobody),
+                ),
+            )
+        )
+        ends = F.filter(
+            F.transform(
+                "lines",
+                lambda x, i: row("end", x["line_no"], F.regexp_extract(x["line"], rf"(\S*\p{{L}})[{HYPHENS}]$", 1), F.right(x["line"], F.lit(1)), none, F.slice("firsts", i + 2, F.size("firsts"))),
+            ),
+            lambda e: (e["half"] != "") & e["hyphen"].isin(*HYPHENS),
+        )
+        odd = F.when(flat.rlike(ODD), F.transform(F.regexp_extract_all("flat", F.lit(ODD_TOKEN), F.lit(0)), lambda t: row("odd", no, t, none, none, nobody)))
+        span = F.when(F.col("spanned"), F.array(row("span", no, none, none, none, nobody)))
+        empty = F.array().cast("array<struct<kind:string,line_no:int,half:string,hyphen:string,rest:string,followers:array<struct<line_no:int,first:string>>>>")
+        every = F.concat(*[F.coalesce(a, empty) for a in (inside, ends, odd, span)])
+        return checkpointed(f.select("doc_id", "id", "text_order", F.inline(every)).distinct())
+
+    @cached_property
+    def cuts(self) -> DataFrame:
+        """Cuts in running text: keys, first half, hyphen, rest, node and line of the rest, the bare halves and their joins."""
+        lined = self.furniture.groupBy("doc_id", "id").agg(F.collect_set("line_no").alias("out"), F.max(F.col("furniture") == "furniture").alias("whole"))
+        m = self.marks.filter("kind in ('cut', 'end')").join(lined, ["doc_id", "id"], "left")
+        nothing = F.array().cast("array<int>")
+        m = m.filter(~_yes(F.col("whole")) & ~F.array_contains(F.coalesce("out", nothing), F.col("line_no"))).withColumn("out", F.coalesce("out", nothing))
+        follow = F.get(F.filter("followers", lambda x: ~F.array_contains(F.col("out"), x["line_no"])), F.lit(0))
+        m = checkpointed(m.withColumn("follow", F.when(F.col("kind") == "end", follow)))
+        inside = m.filter("kind = 'cut'").select("doc_id", "id", "line_no", "half", "hyphen", "rest", F.col("id").alias("rest_id"), F.col("line_no").alias("rest_line"))
+        next_line = m.filter("follow is not null").select("doc_id", "id", "line_no", "half", "hyphen", F.col("follow.first").alias("rest"), F.col("id").alias("rest_id"), F.col("follow.line_no").alias("rest_line"))
+        # a node's last line goes on with the next node's first one
+        open_ = m.filter("kind = 'end' and follow is null and text_order is not null")
+        docs = open_.select("doc_id").distinct()
+        starts = self.body.filter("text_order is not null").join(docs, "doc_id", "left_semi").select("doc_id", "id", "text_order", F.regexp_extract("text", r"^\s*(\S+)", 1).alias("first"))
+        whole = self.furniture.filter("furniture = 'furniture'").select("doc_id", "id").distinct()
+        starts = starts.filter("first <> ''").distinct().join(whole, ["doc_id", "id"], "left_anti").withColumn("block", F.floor(F.col("text_order") / BLOCK))
+        starts = starts.withColumn("next", F.lead(F.struct("first", "id")).over(Window.partitionBy("doc_id", "block").orderBy("text_order", "id")))
+        opening = starts.groupBy("doc_id", "block").agg(F.min(F.struct("text_order", "id", "first")).alias("h"))
+        bridge = opening.withColumn("onward", F.lead(F.struct("h.first", "h.id")).over(Window.partitionBy("doc_id").orderBy("block"))).select("doc_id", "block", "onward")
+        starts = starts.join(bridge, ["doc_id", "block"]).select("doc_id", "id", F.coalesce("next", "onward").alias("next")).filter("next is not null")
+        across = open_.join(starts, ["doc_id", "id"]).select("doc_id", "id", "line_no", "half", "hyphen", F.col("next.first").alias("rest"), F.col("next.id").alias("rest_id"), F.lit(0).alias("rest_line"))
+        every = inside.unionByName(next_line).unionByName(across)
         half, rest = bare_word(_plain(F.col("half"))), bare_word(_plain(F.col("rest")))
         # of a compound only the part at the cut counts
-        return (
-            both.filter(F.col("rest").rlike(r"^[\p{Ll}0-9!|]"))
+        return checkpointed(
+            every.filter(F.col("rest").rlike(r"^[\p{Ll}0-9!|]"))
             .withColumn("a", F.regexp_extract(half, r"([^-]*)$", 1))
             .withColumn("b", F.regexp_extract(rest, r"^([^-]*)", 1))
             .withColumn("joined", F.concat("a", "b"))
@@ -271,102 +343,208 @@ class Scans:
 
     # -- words
 
-    def _words(self) -> DataFrame:
-        # cut words don't count: their halves are marked and dropped
-        marked = F.when(F.col("text").contains("\n"), F.regexp_replace("text", rf"[{HYPHENS}][ \t]*\n\s*\S*", "\u0001")).otherwise(F.col("text"))
-        wrapped = F.col("text").contains("\n")
-        tokens = self.all_nodes.filter("node_type in ('Paragraph', 'ListItem', 'Section')").select(
-            wrapped.alias("wrapped"), F.explode(F.split(F.translate(_plain(marked), "\n\t", "  "), " ")).alias("token")
-        )
-        # raw tokens are counted first, so that each distinct one is stripped once
-        raw = tokens.filter("token <> ''").groupBy("token").agg(F.count("*").alias("n"), F.count_if(~F.col("wrapped")).alias("clean"))
-        word = raw.filter(~F.col("token").contains("\u0001")).select(bare_word(F.col("token")).alias("word"), "n", "clean")
-        # compounds count as themselves and by their parts
+    @cached_property
+    def raw(self) -> DataFrame:
+        """token, n: every printed token of the corpus; halves of cut words don't count."""
+        marked = F.when(F.col("text").rlike(HAS_CUT), F.regexp_replace("text", rf"\S*\p{{L}}[{HYPHENS}](?:\s+\S+|$)", " ")).otherwise(F.col("text"))
+        tokens = self.nodes.filter("node_type in ('Paragraph', 'ListItem', 'Section')").select(F.explode(_tokens(marked)).alias("token"))
+        return checkpointed(tokens.filter("token <> ''").groupBy("token").agg(F.count("*").alias("n")))
+
+    def _by_word(self, tokens: DataFrame, count: str) -> DataFrame:
+        """token, word, count: compounds count as themselves and by their parts."""
+        word = tokens.select("token", bare_word(F.col("token")).alias("word"), count)
         forms = F.when(F.col("word").contains("-"), F.concat(F.array("word"), F.split("word", "-"))).otherwise(F.array("word"))
-        counted = word.select(F.explode(forms).alias("word"), "n", "clean").filter("word <> ''")
-        joined = self.cuts.select(F.col("joined").alias("word"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("clean"))
-        return counted.unionByName(joined).groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
-
-    def _forms(self) -> DataFrame:
-        """word, form: forms that are misreads of more frequent ones with the same skeleton."""
-        keyed = self.words.filter(F.col("word").rlike(r"\p{L}") & (F.char_length("word") > 1) & ~F.col("word").contains("-") & (F.char_length("word") <= 40)).withColumn("skeleton", skeleton(F.col("word")))
-        frequent = keyed.filter((F.col("n") >= RARER) & F.col("word").rlike(r"^\p{L}+$"))
-        groups = frequent.groupBy("skeleton").agg(F.collect_list(F.struct("word", "n", "clean")).alias("forms"), F.max("n").alias("most"))
-        rare = keyed.join(groups, "skeleton").filter(F.col("most") >= RARER * F.greatest("n", F.lit(1)))
-        found = checkpointed(rare.select("word", F.explode(_true_forms("word", F.greatest("n", F.lit(1)), "clean", "forms")).alias("c")).select("word", "c.*"))
+        return word.select("token", F.explode(forms).alias("word"), count).filter("word <> ''")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """word, n, joined (whether only a cut word): raw tokens were counted first, so that each is stripped once."""
+        counted = self._by_word(self.raw, "n").select("word", "n")
+        # the rest at a page's start stands among the tokens of the next node
+        moved = self.cuts.filter("rest_id <> id").select(F.col("b").alias("word"), F.lit(-1).cast("bigint").alias("n"))
+        joined = self.cuts.select(F.col("joined").alias("word"), F.lit(0).cast("bigint").alias("n"))
+        return checkpointed(counted.unionByName(moved).unionByName(joined).groupBy("word").agg(F.greatest(F.sum("n"), F.lit(0)).alias("n")))
+
+    @cached_property
+    def near(self) -> DataFrame:
+        """word, n, form, n_form, cost: far more frequent forms with the same skeleton that listed confusions lead to."""
+        keyed = self.words.filter(F.col("word").rlike(r"\p{L}") & (F.char_length("word") > 1) & ~F.col("word").contains("-"))
+        # what is RARER times as frequent as any word comes that often
+        true = keyed.filter((F.col("n") >= RARER) & F.col("word").rlike(r"^\p{L}+$")).select(skeleton(F.col("word")).alias("key"), F.col("word").alias("form"), F.col("n").alias("n_form"))
+        seen = keyed.select("word", F.greatest("n", F.lit(1)).alias("n"), F.explode(_keys(F.col("word"))).alias("key"))
+        pairs = seen.join(true, "key").filter((F.col("n_form") >= RARER * F.col("n")) & (F.col("word") != F.col("form")))
+        return checkpointed(pairs.withColumn("cost", _cost("word", "form")).filter("cost > 0").drop("key"))
+
+    @cached_property
+    def scanned(self) -> DataFrame:
+        """doc_id of the documents with evidence."""
+        c = self._judged(self.cuts.withColumn("form", F.lit(None).cast("string"))).filter("kind = 'word'").select("doc_id")
+        odd = self.marks.filter("kind = 'odd'").select("doc_id", F.explode(F.split(bare_word(_plain(F.col("half"))), "-")).alias("word"))
+        odd = odd.join(self.near.select("word").distinct(), "word", "left_semi").select("doc_id")
+        sure = self.furniture.filter("sure").select("doc_id").unionByName(self.pages.filter("printed").select("doc_id"))
+        return checkpointed(c.unionByName(odd).unionByName(sure).distinct())
+
+    def _in_scans(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.scanned, "doc_id", "left_semi")
+
+    @cached_property
+    def forms(self) -> DataFrame:
+        """word, form: forms that are misreads of more frequent ones."""
+        inside = self._in_scans(self.nodes.filter("node_type in ('Paragraph', 'ListItem', 'Section')")).select(F.explode(_tokens(F.col("text"))).alias("token"))
+        inside = inside.filter("token <> ''").groupBy("token").agg(F.count("*").alias("s"))
+        scans = self._by_word(inside, "s").groupBy("word").agg(F.sum("s").alias("s"))
+        clean = self.words.join(scans, "word", "left").select("word", F.greatest(F.col("n") - F.coalesce("s", F.lit(0)), F.lit(0)).alias("clean"))
+        c = self.near.join(clean, "word").join(clean.select(F.col("word").alias("form"), F.col("clean").alias("form_clean")), "form")
+        c = c.filter((F.col("clean") == 0) | (F.col("form_clean") >= RARER_CLEAN * F.col("clean")))
+        each = Window.partitionBy("word")
+        found = checkpointed(c.withColumn("least", F.min("cost").over(each)).filter("cost = least").withColumn("forms", F.count("*").over(each)).select("word", "form", "n_form", "forms").distinct())
         # where several forms are as near, the one that follows the same words more often in the scans is taken
-        several = found.groupBy("word").agg(F.count("*").alias("forms")).filter("forms > 1").select("word")
-        pairs = checkpointed(self._pairs())
-        seen = found.join(several, "word", "left_semi").join(pairs.select("word", "ahead").distinct(), "word")
+        several = found.filter("forms > 1")
+        pairs = self._pairs(several.select("word").union(several.select("form")).distinct())
+        seen = several.join(pairs.select("word", "ahead").distinct(), "word")
         support = seen.join(pairs.select("ahead", F.col("word").alias("form"), F.col("n").alias("s")), ["ahead", "form"]).groupBy("word", "form").agg(F.sum("s").alias("support"))
         ranked = found.join(support, ["word", "form"], "left").na.fill(0, ["support"])
-        best = ranked.groupBy("word").agg(F.min(F.struct((-F.col("support")).alias("s"), (-F.col("n")).alias("n"), "form")).alias("b"))
-        return best.select("word", "b.form")
+        best = ranked.groupBy("word").agg(F.min(F.struct((-F.col("support")).alias("s"), (-F.col("n_form")).alias("n"), "form")).alias("b"))
+        return checkpointed(best.select("word", "b.form"))
+
+    def _pairs(self, words: DataFrame) -> DataFrame:
+        """ahead, word, n: the words before the given ones in the scans' running text."""
+        tokens = self._by_word(self.raw, "n").join(words, "word", "left_semi").select("token", "word").distinct()
+        seen = self._running().filter("ahead is not null").select("token", "ahead").join(tokens, "token")
+        return checkpointed(seen.groupBy(bare_word(F.col("ahead")).alias("ahead"), "word").agg(F.count("*").alias("n")))
+
+    @cached_property
+    def misprints(self) -> DataFrame:
+        """token, word, form: printed tokens that hold a misread form, or one glyph that no word has (form null)."""
+        # the words at cuts don't count but may be misread too
+        at_cuts = self.cuts.select(F.explode(F.array(F.concat("half", "hyphen"), "half", "rest")).alias("token")).select(F.explode(_tokens(F.col("token"))).alias("token"))
+        tokens = self.raw.unionByName(at_cuts.distinct().withColumn("n", F.lit(0).cast("bigint")))
+        words = self._by_word(tokens, "n").select("token", "word").distinct().join(self.forms, "word", "left")
+        # a digit or sign between small letters is no code, even if the word isn't known
+        odd = F.col("token").rlike(ODD) & F.col("word").rlike(r"^(?:\p{Ll}{2,}[0-9!|]\p{Ll}+|\p{Ll}+[0-9!|]\p{Ll}{2,})$")
+        return checkpointed(words.filter(F.col("form").isNotNull() | odd).select("token", "word", "form"))
+
+    def _running(self) -> DataFrame:
+        """doc_id, id, line_no, at, token, ahead: tokens of scans; those of furniture lines are among them."""
+        lines = self._in_scans(self._flat()).select("doc_id", "id", F.posexplode(F.split("flat", "\n")).alias("line_no", "line"))
+        lines = lines.withColumn("words", F.split(_strip(_plain(F.col("line"))), " "))
+        pairs = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("token"), F.get("words", i - 1).alias("ahead")))
+        return lines.select("doc_id", "id", "line_no", F.inline(pairs)).filter("token <> ''")
 
-    def _salted_forms(self) -> DataFrame:
-        return self.forms.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    # -- heads inside running lines
 
-    def _pairs(self) -> DataFrame:
-        """ahead, word, n: adjacent words in the lines of scans' running text."""
-        words = self.running().select(F.filter(F.transform(F.split(_plain(F.col("line")), " "), bare_word), lambda w: w != "").alias("w"))
-        two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("ahead"), F.element_at("w", i + 1).alias("word")))
-        return words.filter(F.size("w") > 1).select(F.inline(two)).groupBy("ahead", "word").agg(F.count("*").alias("n"))
+    @cached_property
+    def named(self) -> DataFrame:
+        """doc_id, id, at, until, half, rest: known heads inside text whose lines run together, by their tokens' places.
+
+        An anchor is a token with a capital or an underscore; it meets the document's heads that begin with the same two masked tokens.
+        """
+        bare = lambda c: F.regexp_replace(c, rf"^(?i:{_NUMBER}){_APART}|{_APART}(?i:{_NUMBER})$", "")
+        two = lambda w: masked(F.array_join(F.slice(w, 1, 2), " "))
+        title = self._in_scans(self.metadata.select("doc_id", F.trim(F.regexp_replace(_plain(F.col("title")), r"\s+", " ")).alias("head"))).filter("head <> ''")
+        heads = title.unionByName(self._in_scans(self.furniture.filter("mask is not null")).select("doc_id", F.trim(bare(F.col("line"))).alias("head"))).distinct()
+        heads = heads.withColumn("w", F.split("head", " +")).select("doc_id", two(F.col("w")).alias("key"), masked(F.col("head")).alias("mask"), F.size("w").alias("k")).filter("length(mask) > 3 and key <> ''").distinct()
+        one = self._in_scans(self._flat().filter(~F.col("text").contains("\n"))).join(self.furniture.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
+        # the same tokens as in running text
+        words = one.select("doc_id", "id", F.split(_strip(_plain(F.col("flat"))), " ").alias("w"))
+        starts = F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.get("w", i).rlike(r"^\p{Lu}|_"))
+        anchors = words.filter("size(w) > 2").select("doc_id", "id", "w", F.explode(starts).alias("at"))
+        after = anchors.withColumn("key", masked(F.array_join(F.slice("w", F.col("at") + 1, 2), " "))).join(heads, ["doc_id", "key"])
+        hit = after.filter(masked(F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ")) == F.col("mask"))
+        # a bare page number beside it belongs to it
+        end = F.col("at") + F.col("k")
+        end = end + F.when(_yes(F.get("w", end).rlike(rf"^{_BARE}$")), 1).otherwise(0)
+        hit = hit.withColumn("until", end).filter(F.col("until") < F.size("w"))
+        return checkpointed(hit.select("doc_id", "id", "at", "until", F.get("w", F.col("at") - 1).alias("half"), F.get("w", F.col("until")).alias("rest")).distinct())
 
     # -- results
 
-    def broken(self) -> DataFrame:
-        """Cut words: doc_id, id, line_no, half, hyphen, rest, rest_id, word (joined and corrected)."""
+    def _judged(self, cuts: DataFrame) -> DataFrame:
+        """The cuts with the word, if the vocabulary knows the halves as one word, or else as a compound with its own hyphen."""
         w = self.words.filter("n > 0")
-        c = self.cuts.join(self.forms.select(F.col("word").alias("joined"), "form"), "joined", "left").withColumn("word", F.coalesce("form", "joined"))
-        c = c.join(w.select("word", F.col("n").alias("n_word")), "word", "left")
-        c = c.join(w.select(F.col("word").alias("compound"), F.col("n").alias("n_compound")), "compound", "left")
-        c = c.join(w.select(F.col("word").alias("a"), F.col("n").alias("n_a")), "a", "left").join(w.select(F.col("word").alias("b"), F.col("n").alias("n_b")), "b", "left")
-        n = {k: F.coalesce(k, F.lit(0)) for k in ("n_word", "n_compound", "n_a", "n_b")}
-        known = (n["n_word"] > 0) & (n["n_word"] >= n["n_compound"])
-        fragments = (n["n_compound"] == 0) & (n["n_word"] == 0) & (n["n_a"] == 0) & (n["n_b"] == 0)
-        return c.filter(known | fragments).select("doc_id", "id", "line_no", "half", "hyphen", "rest", "rest_id", "a", "b", "joined", "form", "word")
+        c = cuts.withColumn("word", F.coalesce("form", "joined"))
+        for key in ("word", "compound", "a", "b"):
+            c = c.join(w.select(F.col("word").alias(key), F.col("n").alias(f"n_{key}")), key, "left")
+        n = {k: F.coalesce(f"n_{k}", F.lit(0)) for k in ("word", "compound", "a", "b")}
+        known = (n["word"] > 0) & (n["word"] >= n["compound"])
+        fragments = (n["compound"] == 0) & (n["word"] == 0) & (n["a"] == 0) & (n["b"] == 0)
+        kind = F.when(known | fragments, "word").when(n["compound"] > 0, "compound")
+        return c.withColumn("kind", kind).select(*cuts.columns, "word", "kind")
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        """All cuts, also those before a known head: the columns of ``cuts``, the joined word's true form if it is misread, word and kind."""
+        c = self.named.filter(F.col("half").rlike(rf"\p{{L}}[{HYPHENS}]$") & F.col("rest").rlike(r"^[\p{Ll}0-9!|]"))
+        a, b = F.regexp_extract(bare_word(F.regexp_extract("half", rf"(\S*\p{{L}})[{HYPHENS}]$", 1)), r"([^-]*)$", 1), F.regexp_extract(bare_word(F.col("rest")), r"^([^-]*)", 1)
+        c = c.select(
+            "doc_id", "id", F.lit(0).alias("line_no"), F.regexp_extract("half", rf"(\S*\p{{L}})[{HYPHENS}]$", 1).alias("half"), F.right("half", F.lit(1)).alias("hyphen"), "rest",
+            F.col("id").alias("rest_id"), F.lit(0).alias("rest_line"), a.alias("a"), b.alias("b"), F.concat(a, b).alias("joined"), F.concat_ws("-", a, b).alias("compound"),
+        ).filter("a <> '' and b <> ''")
+        every = self.cuts.unionByName(c)
+        every = every.join(self.forms.select(F.col("word").alias("joined"), "form"), "joined", "left")
+        return checkpointed(self._judged(every))
+
+    @property
+    def broken(self) -> DataFrame:
+        """Words that were cut in two."""
+        return self.judged.filter("kind = 'word'")
 
+    @cached_property
     def misread(self) -> DataFrame:
         """Misread words: doc_id, id, word, form (null where a glyph is wrong but the word isn't known)."""
-        run = self.running()
-        at = Window.partitionBy("doc_id", "id").orderBy("line_no")
+        # tokens that come most often and hold no misread stay behind
+        usual = self.raw.join(self.misprints.select("token").distinct(), "token", "left_anti").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
+        rare = self._running().join(F.broadcast(usual), "token", "left_anti")
+        seen = rare.join(self.misprints, "token")
+        seen = seen.filter(~_name() | F.col("word").rlike(r"[0-9!|]"))
+        seen = seen.join(self.furniture.select("doc_id", "id", "line_no").distinct(), ["doc_id", "id", "line_no"], "left_anti")
+        inner = self.named.select("doc_id", "id", F.lit(0).alias("line_no"), F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("at"))
+        seen = seen.join(inner.distinct(), ["doc_id", "id", "line_no", "at"], "left_anti")
         # halves of cut words are judged joined
-        body = run.withColumn("cut", F.col("line").rlike(rf"[{HYPHENS}]$")).withColumn("after_cut", F.coalesce(F.lag("cut").over(at), F.lit(False)))
-        line = F.when(F.col("cut"), F.regexp_replace("line", r"\S+$", "")).otherwise(F.col("line"))
-        line = F.when(F.col("after_cut"), F.regexp_replace(line, r"^\S+", "")).otherwise(line)
-        tokens = body.select("doc_id", "id", F.posexplode(F.split(_plain(line), " +")).alias("at", "token")).filter("token <> ''")
-        starts = F.col("token").rlike(r"^[\"'(\[]*\p{Lu}")
-        tokens = tokens.withColumn("inner_name", starts & (F.col("at") > 0)).select("doc_id", "id", F.col("token").rlike(r"\p{Ll}[0-9!|]\p{Ll}").alias("odd"), "inner_name", F.explode(F.split(bare_word(F.col("token")), "-")).alias("word"))
-        cut = self.cuts.join(self.broken().select("doc_id", "id", "line_no", "word"), ["doc_id", "id", "line_no"], "left_semi")
-        joined = cut.select("doc_id", F.col("id").alias("id"), "rest_id", "a", F.col("joined").alias("word"), F.col("half").rlike(r"^\p{Lu}").alias("inner_name"), F.lit(False).alias("odd"))
-        words = tokens.select("doc_id", "id", F.col("id").alias("rest_id"), F.lit(None).cast("string").alias("a"), "word", "inner_name", "odd").unionByName(joined)
-        # a digit or sign between small letters is no code, even if the word isn't known
-        odd = F.col("odd") & F.col("word").rlike(r"^(?:\p{Ll}{2,}[0-9!|]\p{Ll}+|\p{Ll}+[0-9!|]\p{Ll}{2,})$")
-        # frequent words are spread over salts of their nodes
-        words = words.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        seen = words.join(self._salted_forms(), ["word", "_s"], "left").filter(F.col("form").isNotNull() & (~F.col("inner_name") | F.col("word").rlike(r"[0-9!|]")) | odd)
+        halves = self.broken.select("doc_id", "id", F.col("a").alias("word")).unionByName(self.broken.select("doc_id", F.col("rest_id").alias("id"), F.col("b").alias("word"))).distinct()
+        seen = seen.join(halves, ["doc_id", "id", "word"], "left_anti").select("doc_id", "id", "word", "form")
+        joined = self.broken.filter(F.col("form").isNotNull() & (~F.col("half").rlike(r"^\p{Lu}") | F.col("joined").rlike(r"[0-9!|]")))
         # the wrong glyph is in the second half where the first one is as it should be
-        first_half_right = F.col("a").isNotNull() & F.col("form").isNotNull() & F.coalesce(F.col("form").startswith(F.col("a")), F.lit(False))
-        return seen.select("doc_id", F.when(first_half_right, F.col("rest_id")).otherwise(F.col("id")).alias("id"), "word", "form")
+        joined = joined.select("doc_id", F.when(F.col("form").startswith(F.col("a")), F.col("rest_id")).otherwise(F.col("id")).alias("id"), F.col("joined").alias("word"), "form")
+        return seen.unionByName(joined)
+
+    def defects(self) -> DataFrame:
+        """node_id, defect: one row per node of a scanned document and kind of defect."""
+        found = self._in_scans(self.furniture).select("id", F.col("furniture").alias("defect"))
+        whole = self.furniture.select("doc_id", "id").distinct()
+        inline = self._in_scans(self.marks.filter("kind = 'span'")).select("doc_id", "id").unionByName(self.named.select("doc_id", "id")).distinct().join(whole, ["doc_id", "id"], "left_anti")
+        inline = inline.select("id", F.lit("inline_furniture").alias("defect"))
+        broken = self.broken.select("id", F.lit("broken_word").alias("defect"))
+        misread = self.misread.select("id", F.lit("misread").alias("defect"))
+        every = found.unionByName(inline).unionByName(broken).unionByName(misread).distinct()
+        return every.withColumnRenamed("id", "node_id")
 
     def repaired(self) -> DataFrame:
         """doc_id, node_id, node_type, text_order, text: running text without furniture, cuts and misreads, one line a node.
 
         A word cut at a page end stands whole in the node of its first half.
         """
-        run = self.running().select("doc_id", "id", "node_type", "text_order", "line_no", F.posexplode(F.split(_plain(F.regexp_replace("line", rf"(\p{{L}})[{HYPHENS}]$", "$1-")), " +")).alias("at", "token"))
-        word = self.broken().select("doc_id", "id", "line_no", F.lit(True).alias("whole"))
-        cuts = self.cuts.join(word, ["doc_id", "id", "line_no"], "left").select(
-            "doc_id", "id", "line_no", _plain(F.concat(F.col("half"), F.when(F.col("whole"), "").otherwise("-"), F.col("rest"))).alias("mended"), "rest_id", "rest_line"
-        )
-        last = Window.partitionBy("doc_id", "id", "line_no").orderBy(F.desc("at"))
-        run = run.withColumn("from_end", F.row_number().over(last))
-        run = run.join(cuts.select("doc_id", "id", "line_no", "mended", F.lit(1).alias("from_end")), ["doc_id", "id", "line_no", "from_end"], "left")
-        moved = cuts.select("doc_id", F.col("rest_id").alias("id"), F.col("rest_line").alias("line_no"), F.lit(0).alias("at"))
-        run = run.join(moved, ["doc_id", "id", "line_no", "at"], "left_anti").withColumn("token", F.coalesce("mended", "token"))
-        parts = run.select("doc_id", "id", "line_no", "at", F.explode(F.split(bare_word(F.col("token")), "-")).alias("word"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("_s"))
-        parts = parts.join(self._salted_forms(), ["word", "_s"])
-        fixes = parts.groupBy("doc_id", "id", "line_no", "at").agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
+        at = ["doc_id", "id", "line_no", "at"]
+        whole = self.furniture.filter("furniture = 'furniture'").select("doc_id", "id").distinct()
+        run = self._running().join(self.furniture.select("doc_id", "id", "line_no").distinct(), ["doc_id", "id", "line_no"], "left_anti").distinct()
+        inner = self.named.select("doc_id", "id", F.lit(0).alias("line_no"), F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("at")).distinct()
+        run = run.join(inner, at, "left_anti")
+        # a first half takes the whole word, the rest goes; a compound keeps its hyphen, anything else stays as it is printed
+        cuts = self.judged.filter("kind is not null")
+        whole_word = F.concat("half", F.when(F.col("kind") == "word", "").otherwise(F.col("hyphen")), "rest")
+        mended = cuts.select("doc_id", "id", "line_no", _plain(F.concat("half", "hyphen")).alias("token"), _plain(whole_word).alias("mended"))
+        mended = mended.groupBy("doc_id", "id", "line_no", "token").agg(F.min("mended").alias("mended"))
+        moved = cuts.select("doc_id", F.col("rest_id").alias("id"), F.col("rest_line").alias("line_no"), _plain(F.col("rest")).alias("token")).distinct().withColumn("moved", F.lit(True))
+        run = run.join(mended, ["doc_id", "id", "line_no", "token"], "left").join(moved, ["doc_id", "id", "line_no", "token"], "left")
+        # of a moved token only the one after a cut, at the line's start or behind its first half, is the rest
+        behind = Window.partitionBy("doc_id", "id", "line_no").orderBy("at")
+        first = (F.col("at") == F.min("at").over(Window.partitionBy("doc_id", "id", "line_no"))) | _yes(F.lag("mended").over(behind).isNotNull())
+        run = run.withColumn("gone", _yes(F.col("moved")) & first).filter("not gone").withColumn("token", F.coalesce("mended", "token")).drop("mended", "moved", "gone")
+        fixes = self.misprints.filter("form is not null").select("word", "form").distinct()
+        usual = self.raw.join(self.misprints.select("token").distinct(), "token", "left_anti").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
+        rare = run.join(F.broadcast(usual), "token", "left_anti").select(*at, _name().alias("name"), F.explode(F.split(bare_word(F.col("token")), "-")).alias("word"))
+        rare = rare.filter(~F.col("name") | F.col("word").rlike(r"[0-9!|]"))
+        forms = rare.join(fixes, "word").groupBy(*at).agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
         fixed = F.aggregate(
             F.col("fixes"),
             F.col("token"),
@@ -374,14 +552,7 @@ class Scans:
                 F.substring(t, 1, 1).rlike(r"\p{Lu}") & F.lower(t).startswith(f["word"]), F.concat(F.initcap(f["form"]), F.substring(t, F.char_length(f["word"]) + 1, F.char_length(t)))
             ).otherwise(F.replace(t, f["word"], f["form"])),
         )
-        run = run.join(fixes, ["doc_id", "id", "line_no", "at"], "left").withColumn("token", F.when(F.col("fixes").isNotNull(), fixed).otherwise(F.col("token")))
-        return run.groupBy("doc_id", F.col("id").alias("node_id"), "node_type", "text_order").agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "at", "token"))), lambda x: x["token"]), " ").alias("text")
-        )
-
-    def defects(self) -> DataFrame:
-        """node_id, defect: one row per node of a scanned document and kind of defect."""
-        furniture = self.lines.filter("furniture is not null").select(F.col("id").alias("node_id"), F.col("furniture").alias("defect"))
-        broken = self.broken().select(F.col("id").alias("node_id"), F.lit("broken_word").alias("defect"))
-        misread = self.misread().select(F.col("id").alias("node_id"), F.lit("misread").alias("defect"))
-        return furniture.unionByName(broken).unionByName(misread).distinct()
+        run = run.join(forms, at, "left").withColumn("token", F.when(F.col("fixes").isNotNull(), fixed).otherwise(F.col("token")))
+        text = run.groupBy("doc_id", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "at", "token"))), lambda x: x["token"]), " ").alias("text"))
+        keys = self._in_scans(self.body).groupBy("doc_id", "id").agg(F.min("node_type").alias("node_type"), F.min("text_order").alias("text_order")).join(whole, ["doc_id", "id"], "left_anti")
+        return keys.join(text, ["doc_id", "id"]).select("doc_id", F.col("id").alias("node_id"), "node_type", "text_order", "text")

@@ -81,6 +81,37 @@ def test_defects_of_scans(spark):
     assert "long-term gauge records the valve. both fixtures were surveyed before the reservoir" in text["a"] and text["b"].startswith("was drained") and "f" not in text
 
 
+def test_scans_whose_lines_run_together(spark):
+    """No line feed tells: cuts, heads and misreads are found inside the text, compounds and clean documents are left alone."""
+    one = [
+        node(3, "u", "The reser- voir and both fix- FERU TILE | 4 tures were surveyed beside the long- term valve with upper- and lower records of the wafer.", order=1),
+        node(3, "v", "The village at Tures surveyed the Report on the Vale Nuno water  7 reservoir while both fixtures were sur- Report on the Vale Nuno water veyed.", order=2),
+        node(3, "h", "FERU TILE | 5", order=3, size=8.0, y=20.0), node(3, "l", "Valves record the reservoir. Fhe fixtures were surveyed by Fhe beside it.", "ListItem", order=4),
+    ]
+    clean = "The reservoir and both fixtures were surveyed; the long-term valve records the water. The reservoir was surveyed and upper water and lower water. "
+    rows = one + one[:1] + [node(4, f"c{i}", clean * 4 + "See [3] and 12  parts with upper- and lower valves.", order=i) for i in range(5)]
+    md = spark.createDataFrame([(3, "x", "G", "Report on the Vale Nuno water"), (4, "y", "G", None)], META)
+    s = scans.Scans(spark.createDataFrame(rows, NODES), md)
+    assert sorted(map(tuple, s.defects().collect())) == [("h", "furniture"), ("l", "misread"), ("u", "broken_word"), ("u", "inline_furniture"), ("u", "misread"), ("v", "broken_word"), ("v", "inline_furniture")]
+    text = {r.node_id: r.text for r in s.repaired().collect()}
+    assert text["u"] == "The reservoir and both fixtures were surveyed beside the long-term valve with upper- and lower records of the water."
+    assert text["v"] == "The village at Tures surveyed the reservoir while both fixtures were surveyed."
+    assert text["l"] == "Valves record the reservoir. The fixtures were surveyed by Fhe beside it." and "h" not in text
+
+
+def test_scans_take_null_documents_extra_columns_and_long_texts(spark):
+    rows = [(*node(3, f"x{i}", t, order=o), "z") for i, (t, o) in enumerate([("word " * 40_000, 1), ("re- " * 3000, None), ("\n" * 500, 2), ("a\n" * 2000 + "b-", 3), ("-", 4)])]
+    n = spark.createDataFrame(rows + [(*node(None, "y", "cut re-\nservoir"), "z")], NODES + ", mask string")
+    assert scans.Scans(n, spark.createDataFrame([(3, "x", "G", ""), (None, "y", "G", "T")], META)).repaired().count() >= 0
+
+
+def test_both_sides_of_a_confusion_share_a_key(spark):
+    pairs = [p.split(" ") for p in scans.CONFUSIONS.split(", ")]
+    df = spark.createDataFrame([(f"xx{t}yy", f"xx{s}yy") for t, s in pairs], "true string, seen string")
+    rows = df.select("true", "seen", scans.F.array_contains(scans._keys(scans.F.col("seen")), scans.skeleton(scans.F.col("true"))).alias("met")).collect()
+    assert all(r.met for r in rows), [r for r in rows if not r.met]
+
+
 def test_scans_without_rows_texts_or_wraps(spark):
     md = spark.createDataFrame([(1, "x", "G", None)], META)
     assert scans.Scans(spark.createDataFrame([], NODES), md).defects().count() == 0
