@@ -42,8 +42,8 @@ PRINTED = 0.6
 RARER, RARER_CLEAN = 10, 50
 #: Confusions allowed in one word.
 MOST_CONFUSIONS = 2
-#: Frequent tokens, none of them misread, that are dropped before tokens move; it bounds a broadcast and decides no result.
-FREQUENT = 4096
+#: Tables of at most so many rows are broadcast (they are counted first); larger ones are joined by shuffles.
+FEW = 1 << 18
 BLOCK = 512
 #: What is printed, and what a scanner makes of it.
 CONFUSIONS = (
@@ -51,7 +51,7 @@ CONFUSIONS = (
     "i l, l i, w vv, h li, li h, b 8, a 4, q 9, z 2, e f, ri n"
 )
 #: Single glyphs and their stroke class; the classes then stand for strokes of the wider letters.
-GLYPHS_FROM, GLYPHS_TO = "ceoa04" "ft" "s5z2" "g9q" "il1!|r" "68", "cccccc" "tt" "ssss" "ggg" "iiiiii" "bb"
+GLYPHS_FROM, GLYPHS_TO = "ceoa04ft" "s5z2" "g9q" "il1!|r" "68", "cccccccc" "ssss" "ggg" "iiiiii" "bb"
 STROKES = (("n", "ii"), ("u", "ii"), ("h", "ii"), ("b", "ii"), ("m", "iii"), ("d", "ci"), ("w", "vv"))
 #: Hyphens at a line's end.
 HYPHENS = "-‐‑¬­"
@@ -66,23 +66,39 @@ HAS_LETTERS = r"\p{L}{2}"
 _SIGNED = rf"(?:(?i:p[aoe4]g[ec]|seite) {_DIGITS}(?: (?:of|o[fl]|von) {_DIGITS})?|(?i:p)\. ?{_DIGITS}|[—–-] {_DIGITS} [—–-]|\[{_DIGITS}\])"
 _BARE = rf"(?:{_DIGITS}|[ivxlc]+)\.?"
 _CAPITALS = r"(?:\p{Lu}{2,}|\p{Lu}[\p{Lu}0-9]{3,})(?: (?:\p{Lu}{2,}|\p{Lu}[\p{Lu}0-9]{3,}))+"
-_AFTER_TEXT = rf"(?<=[\p{{Ll}}\p{{N}}.,;:!?){HYPHENS}] )"
+_AFTER_TEXT = rf"(?<=[{HYPHENS}\p{{Ll}}\p{{N}}.,;:!?)] )"
 SPAN = (
     rf"{_AFTER_TEXT}(?:(?:{_SIGNED}|{_BARE})(?: {{2,}}| \| )|{_SIGNED} )?{_CAPITALS}(?:(?: {{2,}}| \| | )(?:{_SIGNED}|{_BARE})(?= ))?(?= +\S*\p{{Ll}})"
     rf"|{_AFTER_TEXT}(?:\| )?{_SIGNED}(?= )|{_AFTER_TEXT}\| {_BARE}(?= )"
-    rf"|(?<=[^\s{HYPHENS}]) {{2,}}{_BARE}(?= )|{_AFTER_TEXT}{_BARE} {{2,}}(?=\p{{Lu}})"
+    rf"|(?<=[^{HYPHENS}\s]) {{2,}}{_BARE}(?= )|{_AFTER_TEXT}{_BARE} {{2,}}(?=\p{{Lu}})"
 )
+#: What every span has; texts without it are not searched for spans, and what every text of note has.
+SPAN_HINT = r" (?:[ \[|]|[—–-] |[Pp]\. ?[0-9lIO|!]|(?i:p[aoe4]g[ec]|seite) |\p{Lu}{2})"
 #: A cut word inside a line, in groups: first half, hyphen, rest.
-CUT = rf"(\S*\p{{L}})([{HYPHENS}])[ \t]+([\p{{Ll}}0-9!|]\S*)"
-HAS_CUT = rf"\p{{L}}[{HYPHENS}](?:\s|$)"
+CUT = rf"(?<!\S)(\S*\p{{L}})([{HYPHENS}])[ \t]+([\p{{Ll}}0-9!|]\S*)"
+HAS_CUT = rf"[{HYPHENS}](?<=\p{{L}}.)(?:\s|$)"
 #: A digit or sign between small letters.
-ODD = r"\p{Ll}[0-9!|]\p{Ll}"
-ODD_TOKEN = rf"(?<!\S)\S*{ODD}\S*"
+ODD = r"[0-9!|](?<=\p{Ll}.)(?=\p{Ll})"
+ODD_TOKEN = rf"(?<!\S)\S*?{ODD}\S*"
+NOTABLE = rf"{HAS_CUT}|{ODD}|{SPAN_HINT}"
+
+
+@functools.cache
+def _disguise() -> str:
+    """A pattern that finds whatever may be a disguised character: the ranges in which such characters lie, ASCII passed over first."""
+    points = sorted({ord(p[0]) for p in LOOKALIKES.split()} | {ord(c) for c in BLANK + IGNORABLE if c > "\x7e"} | {0xFB00, 0xFB06, *range(0xFF01, 0xFFEF, 32), 0xFFEE})
+    ranges = [[points[0], points[0]]]
+    for k in points[1:]:
+        if k - ranges[-1][1] <= 64:
+            ranges[-1][1] = k
+        else:
+            ranges.append([k, k])
+    return "[^\\x00-\\x7e](?<=[" + "".join(f"\\x{{{x:x}}}-\\x{{{y:x}}}" for x, y in ranges) + "])"
 
 
 def _plain(text: Column) -> Column:
-    """The text without disguised characters; plain ASCII is left alone."""
-    return F.when(text.rlike(r"[^\x00-\x7e]"), _undisguised(text)).otherwise(text)
+    """The text without disguised characters, blanks of all kinds as spaces; other text is left alone."""
+    return F.when(text.rlike(_disguise()), _undisguised(text)).otherwise(text)
 
 
 def _undisguised(text: Column) -> Column:
@@ -109,7 +125,7 @@ def masked(line: Column) -> Column:
     """A line without its numbers, as a coarse skeleton that also bridges the confusions of capitals."""
     bare = F.regexp_replace(line, rf"^(?i:{_NUMBER}){_APART}|{_APART}(?i:{_NUMBER})$", "")
     bare = F.regexp_replace(_plain(bare), r"[\p{P}\p{S}\s]|\d(?=\d)", "")
-    return F.translate(skeleton(bare), "tv", "ci")
+    return F.translate(skeleton(bare), "v", "i")
 
 
 def bare_word(token: Column) -> Column:
@@ -158,14 +174,8 @@ def _cost(seen: str, true: str) -> Column:
     return F.pandas_udf(_costs, "int")(seen, true)
 
 
-def _keys(word: Column) -> Column:
-    """The skeletons under which a seen word looks for its true form: its own, and those with an f as the e it may be."""
-    at = F.filter(F.sequence(F.lit(1), F.char_length(word)), lambda i: F.substr(word, i, F.lit(1)) == "f")
-    return F.array_distinct(F.concat(F.array(skeleton(word)), F.transform(at, lambda i: skeleton(F.overlay(word, F.lit("e"), i, F.lit(1))))))
-
-
 def _strip(line: Column) -> Column:
-    return F.regexp_replace(line, r"^[\s\x{200b}-\x{200f}\x{2060}\x{feff}]+|[\s\x{200b}-\x{200f}\x{2060}\x{feff}]+$", "")
+    return F.btrim(line, F.lit(" \t\x0b\x0c\r\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"))
 
 
 def _yes(c: Column) -> Column:
@@ -173,7 +183,12 @@ def _yes(c: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    return F.split(F.translate(_plain(text), "\n\t", "  "), " ")
+    return F.split(_plain(text), "[ \n\t]")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has FEW rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
 
 def _name() -> Column:
@@ -192,6 +207,9 @@ class Scans:
         self.metadata = metadata
         self.body = self.nodes.filter("doc_id is not null and node_type in ('Paragraph', 'ListItem')")
 
+    # Arrays that take work are exploded by the outer forms: before the others the optimizer puts a filter on the array's
+    # size, which computes it once more; the rows of empty arrays go by the filters that follow.
+
     # -- lines and furniture
 
     @cached_property
@@ -207,23 +225,22 @@ class Scans:
         return checkpointed(pages)
 
     def _candidates(self) -> DataFrame:
-        """Lines that may be furniture, with their neighbours: short ones, ones with a number, and paragraphs of one line."""
+        """Lines that may be furniture, with their neighbours: short ones, ones with a number, paragraphs of one line; and headings."""
         keys = ["doc_id", "id", "node_type", "size", "y"]
+        many, section = F.col("text").contains("\n"), F.col("node_type") == "Section"
         split = F.filter(F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.alias("line_no"), _strip(p).alias("line"))), lambda x: x["line"] != "")
-        many = self.body.filter(F.col("text").contains("\n")).select(*keys, split.alias("lines")).filter("size(lines) > 0")
-        many = many.withColumn("widest", F.array_max(F.transform("lines", lambda x: F.char_length(x["line"]))))
+        one = F.array(F.struct(F.lit(0).alias("line_no"), _strip(F.col("text")).alias("line")))
+        wanted = section | F.col("node_type").isin("Paragraph", "ListItem") & many | (F.col("node_type") == "Paragraph") & (F.char_length("text") <= LINE)
+        c = self.nodes.filter(F.col("doc_id").isNotNull() & wanted).select(*keys, F.when(many & ~section, split).otherwise(one).alias("lines")).filter("size(lines) > 0")
+        c = c.withColumn("widest", F.array_max(F.transform("lines", lambda x: F.char_length(x["line"]))))
         beside = F.transform(
             "lines",
             lambda x, i: F.struct(
                 x["line_no"].alias("line_no"), x["line"].alias("line"), F.get("lines", i - 1)["line"].alias("before"), F.get("lines", i + 1)["line"].alias("after")
             ),
         )
-        many = many.select(*keys, "widest", F.size("lines").alias("n_lines"), F.inline(beside)).filter((F.char_length("line") <= SHORT * F.col("widest")) | F.col("line").rlike(HEAD_AND_NUMBER) | (F.col("n_lines") == 1))
-        none = F.lit(None).cast("string")
-        one = self.body.filter((F.col("node_type") == "Paragraph") & ~F.col("text").contains("\n") & (F.char_length("text") <= LINE)).select(
-            *keys, F.char_length("text").alias("widest"), F.lit(1).alias("n_lines"), F.lit(0).alias("line_no"), _strip(F.col("text")).alias("line"), none.alias("before"), none.alias("after")
-        )
-        return many.unionByName(one).filter("line <> ''")
+        c = c.select(*keys, "widest", F.size("lines").alias("n_lines"), F.inline_outer(beside))
+        return c.filter((F.col("line") != "") & ((F.col("n_lines") == 1) | (F.char_length("line") <= SHORT * F.col("widest")) | F.col("line").rlike(HEAD_AND_NUMBER)))
 
     @cached_property
     def furniture(self) -> DataFrame:
@@ -232,17 +249,18 @@ class Scans:
         both = lambda c: _yes(c.rlike(HEAD_AND_NUMBER) & c.rlike(HAS_LETTERS))
         number = lambda c: _yes(c.rlike(NUMBER_LINE))
         single = F.col("n_lines") == 1
-        c = self._candidates().join(self.pages, "doc_id").withColumn("number", number(line)).withColumn("both", both(line))
+        c = self._candidates().join(_few(self.pages), "doc_id").withColumn("number", number(line)).withColumn("both", both(line))
         c = c.withColumn("short", F.char_length("line") <= SHORT * F.col("widest")).withColumn("decorated", line.rlike(DECORATED))
         small = _yes(F.col("size") < F.col("body_size")).cast("int")
         margin = _yes((F.col("y") < F.col("top")) | (F.col("y") > F.col("bottom"))).cast("int")
         sure = (F.col("number") & F.col("decorated") & ~line.rlike(r"^[(\[—–-]?\s*\d+[.)]$") | F.col("both")).cast("int")
         c = c.withColumn("signs", small + margin + (F.col("number") | F.col("both")).cast("int") + sure)
         # a mask decides only where another sign speaks for a whole paragraph, or for a short line
-        c = c.withColumn("mask", F.when(~F.col("number") & F.when(single, F.col("signs") > 0).otherwise(F.col("short") | F.col("both")), F.nullif(masked(line), F.lit(""))))
+        c = c.withColumn("mask", F.when(~F.col("number") & F.when(single, (F.col("node_type") == "Section") | (F.col("signs") > 0)).otherwise(F.col("short") | F.col("both")), F.nullif(masked(line), F.lit(""))))
         c = checkpointed(c.drop("size", "y", "body_size", "top", "bottom", "printed").distinct())
         titles = self.metadata.select("doc_id", masked(F.col("title")).alias("mask")).filter("mask <> ''")
-        headings = self.nodes.filter("node_type = 'Section' and doc_id is not null").select("doc_id", masked(F.col("text")).alias("mask")).filter("mask <> ''")
+        headings = c.filter("node_type = 'Section' and mask is not null").select("doc_id", "mask")
+        c = c.filter("node_type <> 'Section'")
         again = c.filter(F.col("mask").isNotNull() & (single & F.col("node_type").eqNullSafe("Paragraph") | ~single & F.col("short")) & ~line.rlike(r"[.!?:;,]$"))
         again = again.groupBy("doc_id", "mask").agg(F.count("*").alias("times")).filter("times > 1").select("doc_id", "mask")
         heads = titles.unionByName(headings).unionByName(again).distinct().withColumn("head", F.lit(True))
@@ -263,11 +281,12 @@ class Scans:
 
     # -- running text
 
-    def _flat(self) -> DataFrame:
+    @staticmethod
+    def _flat(body: DataFrame, *more: str) -> DataFrame:
         """Paragraphs and items with the page numbers and capitals of heads taken out where lines run together."""
-        one = ~F.col("text").contains("\n")
-        flat = F.when(one & F.col("text").rlike(SPAN), F.regexp_replace("text", SPAN, " ")).otherwise(F.col("text"))
-        return self.body.select("doc_id", "id", "node_type", "text_order", "text", flat.alias("flat"))
+        one = ~F.col("text").contains("\n") & F.col("text").rlike(SPAN_HINT)
+        flat = F.when(one, F.regexp_replace("text", SPAN, " ")).otherwise(F.col("text"))
+        return body.select("doc_id", "id", "node_type", "text_order", "text", flat.alias("flat"), *more)
 
     @cached_property
     def marks(self) -> DataFrame:
@@ -278,8 +297,7 @@ class Scans:
         """
         flat = F.col("flat")
         cut = flat.rlike(HAS_CUT)
-        f = self._flat().withColumn("spanned", flat != F.col("text"))
-        f = f.filter(F.col("spanned") | cut | flat.rlike(ODD))
+        f = self._flat(self.body.filter(F.col("text").rlike(NOTABLE))).withColumn("spanned", flat != F.col("text"))
         none, no = F.lit(None).cast("string"), F.lit(-1)
         row = lambda kind, n, half, hyphen, rest, more: F.struct(F.lit(kind).alias("kind"), n.alias("line_no"), half.alias("half"), hyphen.alias("hyphen"), rest.alias("rest"), more.alias("followers"))
         nobody = F.array().cast("array<struct<line_no:int,first:string>>")
@@ -287,25 +305,27 @@ class Scans:
         f = f.withColumn("firsts", F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), F.regexp_extract(x["line"], r"^\S+", 0).alias("first"))))
         inside = F.flatten(
             F.transform(
-                F.filter("lines", lambda x: x["line"].rlike(CUT)),
+                F.filter("lines", lambda x: x["line"].rlike(rf"[{HYPHENS}](?<=\p{{L}}.)[ \t]")),
                 lambda x: F.transform(
                     F.regexp_extract_all(x["line"], F.lit(CUT), F.lit(0)),
                     lambda m: row("cut", x["line_no"], F.regexp_extract(m, CUT, 1), F.regexp_extract(m, CUT, 2), F.regexp_extract(m, CUT, 3), nobody),
                 ),
             )
         )
-        ends = F.filter(
-            F.transform(
-                "lines",
-                lambda x, i: row("end", x["line_no"], F.regexp_extract(x["line"], rf"(\S*\p{{L}})[{HYPHENS}]$", 1), F.right(x["line"], F.lit(1)), none, F.slice("firsts", i + 2, F.size("firsts"))),
-            ),
-            lambda e: (e["half"] != "") & e["hyphen"].isin(*HYPHENS),
+        # the lines that follow up to one that is surely no furniture; mostly the next one
+        widths = F.array(F.array_max(F.transform("lines", lambda x: F.char_length(x["line"]))))
+        f = f.withColumn("doubts", F.flatten(F.transform(widths, lambda w: F.transform("lines", lambda x: (F.char_length(x["line"]) <= SHORT * w) | x["line"].rlike(HEAD_AND_NUMBER)))))
+        sure = lambda i, n: F.array_position(F.slice("doubts", i + 2, n), F.lit(False)).cast("int")
+        followers = lambda i: F.when(sure(i, F.lit(8)) > 0, F.slice("firsts", i + 2, sure(i, F.lit(8)))).otherwise(
+            F.slice("firsts", i + 2, F.coalesce(F.nullif(sure(i, F.size("doubts")), F.lit(0)), F.size("firsts")))
         )
+        hyphened = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x["line_no"].alias("line_no"), F.when(F.right(x["line"], F.lit(1)).isin(*HYPHENS), F.regexp_extract(x["line"], rf"(\S*\p{{L}}).$", 1)).alias("half"), F.right(x["line"], F.lit(1)).alias("hyphen"))), lambda e: e["half"] != "")
+        ends = F.transform(hyphened, lambda e: row("end", e["line_no"], e["half"], e["hyphen"], none, followers(e["i"])))
         odd = F.when(flat.rlike(ODD), F.transform(F.regexp_extract_all("flat", F.lit(ODD_TOKEN), F.lit(0)), lambda t: row("odd", no, t, none, none, nobody)))
         span = F.when(F.col("spanned"), F.array(row("span", no, none, none, none, nobody)))
         empty = F.array().cast("array<struct<kind:string,line_no:int,half:string,hyphen:string,rest:string,followers:array<struct<line_no:int,first:string>>>>")
         every = F.concat(*[F.coalesce(a, empty) for a in (inside, ends, odd, span)])
-        return checkpointed(f.select("doc_id", "id", "text_order", F.inline(every)).distinct())
+        return checkpointed(f.select("doc_id", "id", "text_order", F.inline_outer(every)).filter("kind is not null"))
 
     @cached_property
     def cuts(self) -> DataFrame:
@@ -320,8 +340,8 @@ class Scans:
         next_line = m.filter("follow is not null").select("doc_id", "id", "line_no", "half", "hyphen", F.col("follow.first").alias("rest"), F.col("id").alias("rest_id"), F.col("follow.line_no").alias("rest_line"))
         # a node's last line goes on with the next node's first one
         open_ = m.filter("kind = 'end' and follow is null and text_order is not null")
-        docs = open_.select("doc_id").distinct()
-        starts = self.body.filter("text_order is not null").join(docs, "doc_id", "left_semi").select("doc_id", "id", "text_order", F.regexp_extract("text", r"^\s*(\S+)", 1).alias("first"))
+        docs = checkpointed(open_.select("doc_id").distinct())
+        starts = self.body.filter("text_order is not null").join(_few(docs), "doc_id", "left_semi").select("doc_id", "id", "text_order", F.regexp_extract("text", r"^\s*(\S+)", 1).alias("first"))
         whole = self.furniture.filter("furniture = 'furniture'").select("doc_id", "id").distinct()
         starts = starts.filter("first <> ''").distinct().join(whole, ["doc_id", "id"], "left_anti").withColumn("block", F.floor(F.col("text_order") / BLOCK))
         starts = starts.withColumn("next", F.lead(F.struct("first", "id")).over(Window.partitionBy("doc_id", "block").orderBy("text_order", "id")))
@@ -339,6 +359,7 @@ class Scans:
             .withColumn("joined", F.concat("a", "b"))
             .withColumn("compound", F.concat_ws("-", "a", "b"))
             .filter("a <> '' and b <> ''")
+            .distinct()
         )
 
     # -- words
@@ -346,8 +367,8 @@ class Scans:
     @cached_property
     def raw(self) -> DataFrame:
         """token, n: every printed token of the corpus; halves of cut words don't count."""
-        marked = F.when(F.col("text").rlike(HAS_CUT), F.regexp_replace("text", rf"\S*\p{{L}}[{HYPHENS}](?:\s+\S+|$)", " ")).otherwise(F.col("text"))
-        tokens = self.nodes.filter("node_type in ('Paragraph', 'ListItem', 'Section')").select(F.explode(_tokens(marked)).alias("token"))
+        marked = F.when(F.col("text").rlike(HAS_CUT), F.regexp_replace("text", rf"(?<!\S)\S*\p{{L}}[{HYPHENS}](?:\s+\S+|$)", " ")).otherwise(F.col("text"))
+        tokens = self.nodes.filter("node_type in ('Paragraph', 'ListItem', 'Section')").select(marked.alias("text")).select(F.explode_outer(_tokens(F.col("text"))).alias("token"))
         return checkpointed(tokens.filter("token <> ''").groupBy("token").agg(F.count("*").alias("n")))
 
     def _by_word(self, tokens: DataFrame, count: str) -> DataFrame:
@@ -371,8 +392,9 @@ class Scans:
         keyed = self.words.filter(F.col("word").rlike(r"\p{L}") & (F.char_length("word") > 1) & ~F.col("word").contains("-"))
         # what is RARER times as frequent as any word comes that often
         true = keyed.filter((F.col("n") >= RARER) & F.col("word").rlike(r"^\p{L}+$")).select(skeleton(F.col("word")).alias("key"), F.col("word").alias("form"), F.col("n").alias("n_form"))
-        seen = keyed.select("word", F.greatest("n", F.lit(1)).alias("n"), F.explode(_keys(F.col("word"))).alias("key"))
-        pairs = seen.join(true, "key").filter((F.col("n_form") >= RARER * F.col("n")) & (F.col("word") != F.col("form")))
+        seen = keyed.select("word", F.greatest("n", F.lit(1)).alias("n"), skeleton(F.col("word")).alias("key"))
+        alike = F.abs(F.char_length("word") - F.char_length("form")) <= MOST_CONFUSIONS
+        pairs = seen.join(true, "key").filter((F.col("n_form") >= RARER * F.col("n")) & alike & (F.col("word") != F.col("form")))
         return checkpointed(pairs.withColumn("cost", _cost("word", "form")).filter("cost > 0").drop("key"))
 
     @cached_property
@@ -385,19 +407,43 @@ class Scans:
         return checkpointed(c.unionByName(odd).unionByName(sure).distinct())
 
     def _in_scans(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.scanned, "doc_id", "left_semi")
+        return rows.join(_few(self.scanned), "doc_id", "left_semi")
+
+    @cached_property
+    def _out(self) -> DataFrame:
+        """doc_id, id, line_no: the furniture's lines."""
+        return checkpointed(self._in_scans(self.furniture).select("doc_id", "id", "line_no").distinct())
+
+    @cached_property
+    def nearest(self) -> DataFrame:
+        """``near`` at the least cost of each word, and how many forms are as near."""
+        each = Window.partitionBy("word")
+        return checkpointed(self.near.withColumn("least", F.min("cost").over(each)).filter("cost = least").withColumn("forms", F.count("*").over(each)).drop("cost", "least"))
+
+    @cached_property
+    def rare(self) -> DataFrame:
+        """doc_id, id, line_no, at, token, ahead: the scans' tokens that hold a word that may be misread, or one of several forms of such a word."""
+        near = self.nearest.select("word").union(self.nearest.filter("forms > 1").select("form")).distinct()
+        tokens = self._tokens_of(near).unionByName(self._all_tokens.filter(F.col("token").rlike(ODD)).select("token"))
+        return checkpointed(self._running().join(_few(checkpointed(tokens.distinct())), "token", "left_semi"))
+
+    @cached_property
+    def _all_tokens(self) -> DataFrame:
+        """token, n: all printed tokens; those at cuts, which don't count, with n = 0."""
+        at_cuts = self.cuts.select(F.explode(F.array(F.concat("half", "hyphen"), "half", "rest")).alias("token")).select(F.explode(_tokens(F.col("token"))).alias("token"))
+        return checkpointed(self.raw.unionByName(at_cuts.filter("token <> ''").distinct().withColumn("n", F.lit(0).cast("bigint"))))
+
+    def _tokens_of(self, words: DataFrame) -> DataFrame:
+        """The tokens that hold one of the words."""
+        return self._by_word(self._all_tokens, "n").join(words, "word", "left_semi").select("token")
 
     @cached_property
     def forms(self) -> DataFrame:
         """word, form: forms that are misreads of more frequent ones."""
-        inside = self._in_scans(self.nodes.filter("node_type in ('Paragraph', 'ListItem', 'Section')")).select(F.explode(_tokens(F.col("text"))).alias("token"))
-        inside = inside.filter("token <> ''").groupBy("token").agg(F.count("*").alias("s"))
-        scans = self._by_word(inside, "s").groupBy("word").agg(F.sum("s").alias("s"))
-        clean = self.words.join(scans, "word", "left").select("word", F.greatest(F.col("n") - F.coalesce("s", F.lit(0)), F.lit(0)).alias("clean"))
-        c = self.near.join(clean, "word").join(clean.select(F.col("word").alias("form"), F.col("clean").alias("form_clean")), "form")
-        c = c.filter((F.col("clean") == 0) | (F.col("form_clean") >= RARER_CLEAN * F.col("clean")))
-        each = Window.partitionBy("word")
-        found = checkpointed(c.withColumn("least", F.min("cost").over(each)).filter("cost = least").withColumn("forms", F.count("*").over(each)).select("word", "form", "n_form", "forms").distinct())
+        # outside scans a misread form is rarer still
+        inside = self._by_word(self.rare.withColumn("s", F.lit(1).cast("bigint")), "s").groupBy("word").agg(F.sum("s").alias("s"))
+        clean = F.greatest(F.col("n") - F.coalesce("s", F.lit(0)), F.lit(0))
+        found = checkpointed(self.nearest.join(inside, "word", "left").filter(F.col("n_form") >= RARER_CLEAN * clean).select("word", "form", "n_form", "forms"))
         # where several forms are as near, the one that follows the same words more often in the scans is taken
         several = found.filter("forms > 1")
         pairs = self._pairs(several.select("word").union(several.select("form")).distinct())
@@ -409,27 +455,26 @@ class Scans:
 
     def _pairs(self, words: DataFrame) -> DataFrame:
         """ahead, word, n: the words before the given ones in the scans' running text."""
-        tokens = self._by_word(self.raw, "n").join(words, "word", "left_semi").select("token", "word").distinct()
-        seen = self._running().filter("ahead is not null").select("token", "ahead").join(tokens, "token")
+        tokens = checkpointed(self._by_word(self._all_tokens, "n").join(words, "word", "left_semi").select("token", "word").distinct())
+        if tokens.isEmpty():
+            return tokens.select(F.col("token").alias("ahead"), "word", F.lit(0).cast("bigint").alias("n"))
+        seen = self.rare.filter("ahead is not null").select("token", "ahead").join(_few(tokens), "token")
         return checkpointed(seen.groupBy(bare_word(F.col("ahead")).alias("ahead"), "word").agg(F.count("*").alias("n")))
 
     @cached_property
     def misprints(self) -> DataFrame:
         """token, word, form: printed tokens that hold a misread form, or one glyph that no word has (form null)."""
-        # the words at cuts don't count but may be misread too
-        at_cuts = self.cuts.select(F.explode(F.array(F.concat("half", "hyphen"), "half", "rest")).alias("token")).select(F.explode(_tokens(F.col("token"))).alias("token"))
-        tokens = self.raw.unionByName(at_cuts.distinct().withColumn("n", F.lit(0).cast("bigint")))
-        words = self._by_word(tokens, "n").select("token", "word").distinct().join(self.forms, "word", "left")
+        words = self._by_word(self._all_tokens, "n").select("token", "word").distinct().join(self.forms, "word", "left")
         # a digit or sign between small letters is no code, even if the word isn't known
         odd = F.col("token").rlike(ODD) & F.col("word").rlike(r"^(?:\p{Ll}{2,}[0-9!|]\p{Ll}+|\p{Ll}+[0-9!|]\p{Ll}{2,})$")
         return checkpointed(words.filter(F.col("form").isNotNull() | odd).select("token", "word", "form"))
 
     def _running(self) -> DataFrame:
         """doc_id, id, line_no, at, token, ahead: tokens of scans; those of furniture lines are among them."""
-        lines = self._in_scans(self._flat()).select("doc_id", "id", F.posexplode(F.split("flat", "\n")).alias("line_no", "line"))
+        lines = self._flat(self._in_scans(self.body)).select("doc_id", "id", F.posexplode_outer(F.split("flat", "\n")).alias("line_no", "line"))
         lines = lines.withColumn("words", F.split(_strip(_plain(F.col("line"))), " "))
         pairs = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("token"), F.get("words", i - 1).alias("ahead")))
-        return lines.select("doc_id", "id", "line_no", F.inline(pairs)).filter("token <> ''")
+        return lines.select("doc_id", "id", "line_no", F.inline_outer(pairs)).filter("token <> ''")
 
     # -- heads inside running lines
 
@@ -440,17 +485,27 @@ class Scans:
         An anchor is a token with a capital or an underscore; it meets the document's heads that begin with the same two masked tokens.
         """
         bare = lambda c: F.regexp_replace(c, rf"^(?i:{_NUMBER}){_APART}|{_APART}(?i:{_NUMBER})$", "")
-        two = lambda w: masked(F.array_join(F.slice(w, 1, 2), " "))
+        # a key without patterns: the stroke classes of two tokens
+        two = lambda c: skeleton(F.translate(c, " .,:;|()[]-_'", ""))
         title = self._in_scans(self.metadata.select("doc_id", F.trim(F.regexp_replace(_plain(F.col("title")), r"\s+", " ")).alias("head"))).filter("head <> ''")
         heads = title.unionByName(self._in_scans(self.furniture.filter("mask is not null")).select("doc_id", F.trim(bare(F.col("line"))).alias("head"))).distinct()
-        heads = heads.withColumn("w", F.split("head", " +")).select("doc_id", two(F.col("w")).alias("key"), masked(F.col("head")).alias("mask"), F.size("w").alias("k")).filter("length(mask) > 3 and key <> ''").distinct()
-        one = self._in_scans(self._flat().filter(~F.col("text").contains("\n"))).join(self.furniture.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_anti")
-        # the same tokens as in running text
-        words = one.select("doc_id", "id", F.split(_strip(_plain(F.col("flat"))), " ").alias("w"))
-        starts = F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.get("w", i).rlike(r"^\p{Lu}|_"))
-        anchors = words.filter("size(w) > 2").select("doc_id", "id", "w", F.explode(starts).alias("at"))
-        after = anchors.withColumn("key", masked(F.array_join(F.slice("w", F.col("at") + 1, 2), " "))).join(heads, ["doc_id", "key"])
-        hit = after.filter(masked(F.array_join(F.slice("w", F.col("at") + 1, F.col("k")), " ")) == F.col("mask"))
+        heads = heads.withColumn("w", F.split("head", " +")).select("doc_id", two(F.array_join(F.slice("w", 1, 2), " ")).alias("key"), masked(F.col("head")).alias("mask"), F.size("w").alias("k")).filter("length(mask) > 3").distinct()
+        one = self._in_scans(self.body.filter(~F.col("text").contains("\n"))).join(_few(self._out).select("doc_id", "id"), ["doc_id", "id"], "left_anti")
+        # only texts with a page number or capitals of a head, or with the document's title, are searched
+        spans = _few(checkpointed(self.marks.filter("kind = 'span'").select("doc_id", "id", F.lit(True).alias("spanned")).distinct()))
+        named = _few(checkpointed(title.select("doc_id", two(F.col("head")).alias("title")).filter("length(title) > 3").distinct()))
+        one = one.join(spans, ["doc_id", "id"], "left").join(named, "doc_id", "left").filter(F.col("spanned") | two(F.col("text")).contains(F.col("title"))).drop("spanned", "title")
+        one = checkpointed(one.distinct())
+        capital = r"\p{Lu}\S* +\S+"
+        anchors = F.when(F.col("text").contains("_"), F.regexp_extract_all("text", F.lit(rf"\s(?=({capital}|\S*_\S*))"), F.lit(1)))
+        key = F.transform(anchors.otherwise(F.regexp_extract_all("text", F.lit(rf"\s(?=({capital}))"), F.lit(1))), two)
+        heads = _few(checkpointed(heads))
+        met = one.select("doc_id", "id", F.explode_outer(F.array_distinct(key)).alias("key")).join(heads, ["doc_id", "key"]).drop("key").distinct()
+        # of the few texts that meet a head, the tokens are those of running text
+        texts = self._flat(one.join(_few(checkpointed(met)), ["doc_id", "id"]), "mask", "k")
+        words = texts.select("doc_id", "id", "mask", "k", F.split(_strip(_plain(F.col("flat"))), " ").alias("w")).filter("size(w) > 2")
+        starts = F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: masked(F.array_join(F.slice("w", i + 1, F.col("k")), " ")) == F.col("mask"))
+        hit = words.withColumn("at", F.explode_outer(starts))
         # a bare page number beside it belongs to it
         end = F.col("at") + F.col("k")
         end = end + F.when(_yes(F.get("w", end).rlike(rf"^{_BARE}$")), 1).otherwise(0)
@@ -492,12 +547,9 @@ class Scans:
     @cached_property
     def misread(self) -> DataFrame:
         """Misread words: doc_id, id, word, form (null where a glyph is wrong but the word isn't known)."""
-        # tokens that come most often and hold no misread stay behind
-        usual = self.raw.join(self.misprints.select("token").distinct(), "token", "left_anti").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
-        rare = self._running().join(F.broadcast(usual), "token", "left_anti")
-        seen = rare.join(self.misprints, "token")
+        seen = self.rare.join(_few(self.misprints), "token")
         seen = seen.filter(~_name() | F.col("word").rlike(r"[0-9!|]"))
-        seen = seen.join(self.furniture.select("doc_id", "id", "line_no").distinct(), ["doc_id", "id", "line_no"], "left_anti")
+        seen = seen.join(_few(self._out), ["doc_id", "id", "line_no"], "left_anti")
         inner = self.named.select("doc_id", "id", F.lit(0).alias("line_no"), F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("at"))
         seen = seen.join(inner.distinct(), ["doc_id", "id", "line_no", "at"], "left_anti")
         # halves of cut words are judged joined
@@ -526,7 +578,7 @@ class Scans:
         """
         at = ["doc_id", "id", "line_no", "at"]
         whole = self.furniture.filter("furniture = 'furniture'").select("doc_id", "id").distinct()
-        run = self._running().join(self.furniture.select("doc_id", "id", "line_no").distinct(), ["doc_id", "id", "line_no"], "left_anti").distinct()
+        run = self._running().join(_few(self._out), ["doc_id", "id", "line_no"], "left_anti").distinct()
         inner = self.named.select("doc_id", "id", F.lit(0).alias("line_no"), F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("at")).distinct()
         run = run.join(inner, at, "left_anti")
         # a first half takes the whole word, the rest goes; a compound keeps its hyphen, anything else stays as it is printed
@@ -541,8 +593,7 @@ class Scans:
         first = (F.col("at") == F.min("at").over(Window.partitionBy("doc_id", "id", "line_no"))) | _yes(F.lag("mended").over(behind).isNotNull())
         run = run.withColumn("gone", _yes(F.col("moved")) & first).filter("not gone").withColumn("token", F.coalesce("mended", "token")).drop("mended", "moved", "gone")
         fixes = self.misprints.filter("form is not null").select("word", "form").distinct()
-        usual = self.raw.join(self.misprints.select("token").distinct(), "token", "left_anti").orderBy(F.desc("n"), "token").limit(FREQUENT).select("token")
-        rare = run.join(F.broadcast(usual), "token", "left_anti").select(*at, _name().alias("name"), F.explode(F.split(bare_word(F.col("token")), "-")).alias("word"))
+        rare = run.join(_few(self.misprints).select("token").distinct(), "token", "left_semi").select(*at, _name().alias("name"), F.explode(F.split(bare_word(F.col("token")), "-")).alias("word"))
         rare = rare.filter(~F.col("name") | F.col("word").rlike(r"[0-9!|]"))
         forms = rare.join(fixes, "word").groupBy(*at).agg(F.collect_set(F.struct("word", "form")).alias("fixes"))
         fixed = F.aggregate(
