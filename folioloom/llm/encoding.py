@@ -1,13 +1,15 @@
 """Garbled text from a wrong character encoding (problem 7).
 
-1. Adjacent character pairs of the whole corpus are counted into a hashed table of fixed size. From it every pair
-   has its joint information, the characters' own information less their pointwise mutual information,
-   i(a) + i(b) - pmi(a, b). (Mutual information alone would favour garbling, which binds its characters tightly.)
-2. In each text a pair scores its joint information less the corpus' mean, so that usual pairs count against a run and
-   rare ones for it; maximum-scoring segments are the improbable runs.
+1. Adjacent character pairs and single characters of the whole corpus are counted, pairs in a hashed table of fixed size.
+   A pair's pointwise mutual information is pmi(a, b) = log2 p(a, b) - log2 p(a) - log2 p(b), and its share of the corpus'
+   mutual information p(a, b) * pmi(a, b). (The pointwise value alone would favour garbling, which binds its characters
+   tightly; its share of the whole is small all the same, since such pairs are few.) Values of pmi beside LEAST_PMI and
+   MOST_PMI count as these.
+2. In each text a pair scores the bits of its share, -log2 of it, less the corpus' mean and a margin, so that pairs that carry
+   the corpus' mutual information count against a run and others for it; maximum-scoring segments are the improbable runs.
 3. Only inside these runs inverse mappings are tested: bytes of a wrong encoding that are well-formed UTF-8, and
    single-byte and Japanese encodings read as another one. A mapping is taken if the restored characters, with their
-   neighbours, carry less information than the garbled ones by a margin. Runs garbled twice are restored twice.
+   neighbours, need fewer bits than the garbled ones by a margin. Runs garbled twice are restored twice.
 
 The replacement character U+FFFD shows a lossy decoding; such texts are found but cannot be restored there.
 
@@ -39,7 +41,7 @@ OTHER = (
     ("cp1252", "mac-roman"), ("mac-roman", "cp1252"), ("cp1252", "cp437"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"),
 )
 #: Bits that a restored run must save: at all, and per restored pair where the length stays the same.
-LEAST_BITS, BITS_A_PAIR = 12.0, 3.0
+LEAST_BITS, BITS_A_PAIR = 10.0, 3.0
 #: Fixed value: signs that count as letters in Unicode.
 LETTERLIKE = "µªºƒˆ˜"
 #: A run ends where the score has fallen this far below its best.
@@ -49,6 +51,9 @@ MARGIN = 2.0
 ROUNDS = 3
 LOST = "�"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Bounds within which a pair's pointwise mutual information counts.
+LEAST_PMI, MOST_PMI = 0.5, 4.0
+CODES = 0x110000
 
 
 def bucket(codes: np.ndarray) -> np.ndarray:
@@ -63,27 +68,45 @@ def _codes(text: str) -> np.ndarray:
 
 
 def pair_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """(bucket, n) over all adjacent pairs of all texts; each task adds up its own pairs first."""
+    """(bucket, n, pair) over all texts; each task adds up its own pairs first.
+
+    Buckets up to 2 ** BITS hold adjacent pairs (and one of the pairs that share the bucket), those above it single characters.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, dtype=np.int64)
+        pairs, chars, some = np.zeros(1 << BITS, dtype=np.int64), np.zeros(CODES, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
         for batch in batches:
             # a line feed stands between texts, so that no pair spans two of them
-            total += np.bincount(bucket(_codes("\n".join(["", *(t for t in batch.column(0).to_pylist() if t), ""]))), minlength=1 << BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
-
-    return documents.select(text_col).mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-
-
-def information(documents: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Bits of every bucket's pairs, and their mean over the corpus (its pair entropy)."""
-    n = np.zeros(1 << BITS, dtype=np.float64)
-    for r in pair_counts(documents, text_col).toLocalIterator():  # at most 2 ** BITS rows
-        n[r[0]] = r[1]
-    total = max(n.sum(), 2.0)
-    bits = -np.log2(np.maximum(n, 0.5) / total)
-    return bits.astype(np.float32), float((n * bits).sum() / total)
+            codes = _codes("\n".join(["", *(t for t in batch.column(0).to_pylist() if t), ""]))
+            at = bucket(codes)
+            pairs += np.bincount(at, minlength=1 << BITS)
+            some[at] = (codes[:-1].astype(np.int64) << 21) | codes[1:]
+            seen = np.bincount(codes)
+            chars[: len(seen)] += seen
+        p, c = np.flatnonzero(pairs), np.flatnonzero(chars)
+        columns = (np.concatenate([p, c + (1 << BITS)]), np.concatenate([pairs[p], chars[c]]), np.concatenate([some[p], c]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["bucket", "n", "pair"])
+
+    return documents.select(text_col).mapInArrow(count, "bucket bigint, n bigint, pair bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.max("pair").alias("pair"))
+
+
+def share_bits(pair: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """-log2 of pairs' shares of the mutual information, from the bits (-log2 p) of the pairs and of their characters."""
+    return pair - np.log2(np.clip(first + second - pair, LEAST_PMI, MOST_PMI))
+
+
+def information(documents: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Bits of every bucket's pairs, bits of every character, and the mean of the share's bits over the corpus."""
+    n, chars, pair = np.zeros(1 << BITS), np.zeros(CODES), np.zeros(1 << BITS, dtype=np.int64)
+    for at, times, key in pair_counts(documents, text_col).toLocalIterator():  # at most 2 ** BITS rows and one a character
+        if at < 1 << BITS:
+            n[at], pair[at] = times, key
+        else:
+            chars[key] = times
+    bits = (-np.log2(np.maximum(n, 0.5) / max(n.sum(), 2.0))).astype(np.float32)
+    single = (-np.log2(np.maximum(chars, 0.5) / max(chars.sum(), 2.0))).astype(np.float32)
+    shares = share_bits(bits, single[pair >> 21], single[pair & (1 << 21) - 1])
+    return bits, single, float((n * shares).sum() / max(n.sum(), 2.0))
 
 
 @functools.cache
@@ -128,23 +151,24 @@ NON_ASCII = re.compile("[^\x00-\x7e]")
 
 
 class Pairs(dict):
-    """Bits of single pairs, remembered up to a bound."""
+    """Bits of single pairs' shares, remembered up to a bound."""
 
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, single: np.ndarray) -> None:
+        self.bits, self.single = bits, single
 
     def __missing__(self, pair: tuple[str, str]) -> float:
         if len(self) > 1 << 18:
             self.clear()
-        self[pair] = value = float(self.bits[bucket(np.array([ord(pair[0]), ord(pair[1])], dtype=np.uint32))[0]])
+        codes = np.array([ord(pair[0]), ord(pair[1])], dtype=np.uint32)
+        self[pair] = value = float(share_bits(self.bits[bucket(codes)], *self.single[codes])[0])
         return value
 
 
 class Model:
     """Pair information and the tests that use it."""
 
-    def __init__(self, bits: np.ndarray, mean: float) -> None:
-        self.bits, self.mean, self.pairs = bits, mean, Pairs(bits)
+    def __init__(self, bits: np.ndarray, single: np.ndarray, mean: float) -> None:
+        self.bits, self.single, self.mean, self.pairs = bits, single, mean, Pairs(bits, single)
         # runs recur; the answer depends on nothing but the run and its neighbours
         self.restored = functools.lru_cache(maxsize=1 << 16)(self._restored)
 
@@ -158,7 +182,8 @@ class Model:
             return []
         codes = _codes(text)
         odd = np.flatnonzero(codes > 126)
-        values = (self.bits[bucket(codes)] - np.float32(self.mean + MARGIN)).tolist()
+        own = self.single[codes]
+        values = (share_bits(self.bits[bucket(codes)], own[:-1], own[1:]) - np.float32(self.mean + MARGIN)).tolist()
         out: list[tuple[int, int]] = []
         done = 0
         for p in odd.tolist():

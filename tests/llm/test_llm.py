@@ -260,3 +260,21 @@ def test_twice_garbled_and_repeated_rows(spark):
         bad = "".join(encoding._byte_chars("cp1252")[b] if b > 127 else chr(b) for b in bad.encode())
     df = spark.createDataFrame([*docs.items(), (1000, bad), (1000, bad)], "doc_id bigint, text string")
     assert [r.text for r in encoding.affected(df).collect()] == ["été créé à côté"] * 2
+
+
+def test_shares_of_mutual_information_equal_brute_force(spark):
+    import math
+
+    texts = ["abab cab", "ébé\nab", "", None]
+    bits, single, mean = encoding.information(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1))
+    whole = "\n".join(["", *(t for t in texts if t), ""])
+    pairs, chars = Counter(zip(whole, whole[1:])), Counter(whole)
+    n, m = sum(pairs.values()), sum(chars.values())
+
+    def share(a, b):
+        p = pairs[a, b] / n
+        return -math.log2(p) - math.log2(min(max(math.log2(p / (chars[a] / m * chars[b] / m)), encoding.LEAST_PMI), encoding.MOST_PMI))
+
+    got = encoding.Pairs(bits, single)
+    assert all(abs(got[p] - share(*p)) < 1e-4 for p in pairs)
+    assert abs(mean - sum(k * share(*p) for p, k in pairs.items()) / n) < 1e-4
