@@ -1,38 +1,52 @@
 """Deeply nested semi-structured records to related flat tables (problem 1).
 
 A payload holds a graph in one of three layouts (a list of nodes, nodes keyed by id, or one root with nested
-children), possibly wrapped in other objects or in a JSON string. Every layout is first brought to one array of
-node structs by nested ``transform`` calls that attach ancestor keys and indices, ``flatten`` joins the arrays of
-each nesting level, and one ``inline`` per target table emits its rows.
-
-Defined results: a null, empty, cut off or otherwise invalid payload, and one without a graph, give no rows. A node
-without an id gives no node row, box, breadcrumb or link, but its nested children still give theirs. Repeated nodes
-and links of one payload give one row. A missing or unreadable optional field is null, and a box is emitted only
-if it has at least one readable coordinate. Other columns of the input are ignored; the two keys are kept.
+children), at any place inside other objects, lists and JSON strings. A fold looks for the graph level by level; another one
+brings every layout to one array of node structs by nested ``transform`` calls that attach ancestor keys and indices,
+``flatten`` joins the arrays of each nesting level, and one ``inline`` per target table emits its rows. A level's nodes give up
+their fields when they are reached, so no row carries a subtree.
+
+Defined results: a null, empty, cut off or otherwise invalid payload, and one without a graph, give no rows. Of a payload's
+objects with nodes or a root those nearest to its top are the graphs. A node without an id gives no node row, box, breadcrumb
+or link, but its nested children still give theirs. Repeated nodes and links of one payload give one row. A missing or
+unreadable optional field is null, and a box is emitted only if it has at least one readable coordinate. Other columns of
+the input are ignored; the two keys are kept.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Paths, in order of preference, at which a payload's graph may lie.
-WRAPPERS = ("$", "$.graph", "$.data.result", "$.data", "$.result", "$.data.graph", "$.graph.result")
-#: A payload may be a JSON string that holds JSON, this many times over.
-STRING_WRAPS = 2
+from folioloom.session import checkpointed
+
 CRUMB_SEPARATOR = " > "
 
 
-@dataclass
 class FlatGraph:
-    """The related tables; keys are (record, node id), links keep parent and child ids."""
+    """The related tables, each made when it is first asked for; keys are (record, node id), links keep parent and child ids."""
+
+    def __init__(self, nodes: Callable[[], DataFrame], boxes: Callable[[], DataFrame], breadcrumbs: Callable[[], DataFrame], links: Callable[[], DataFrame]) -> None:
+        self._make = {"nodes": nodes, "boxes": boxes, "breadcrumbs": breadcrumbs, "links": links}
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self._make["nodes"]()
+
+    @cached_property
+    def boxes(self) -> DataFrame:
+        return self._make["boxes"]()
 
-    nodes: DataFrame
-    boxes: DataFrame
-    breadcrumbs: DataFrame
-    links: DataFrame
+    @cached_property
+    def breadcrumbs(self) -> DataFrame:
+        return self._make["breadcrumbs"]()
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return self._make["links"]()
 
 
 def _get(v: Column, path: str, kind: str) -> Column:
@@ -40,10 +54,10 @@ def _get(v: Column, path: str, kind: str) -> Column:
 
 
 def unwrapped(payload: Column) -> Column:
-    """The JSON text itself where the payload is a JSON string that holds it."""
-    for _ in range(STRING_WRAPS):
-        payload = F.when(F.ltrim(payload).startswith('"'), _get(F.try_parse_json(payload), "$", "string")).otherwise(payload)
-    return payload
+    """The JSON text itself where the payload is a JSON string that holds it, however often: k wraps begin with 2 ** k - 1 quotes and backslashes."""
+    wraps = F.ceil(F.log2(F.length(F.regexp_extract(payload, r'^\s*(["\\]*)', 1)) + 1)).cast("int")
+    inner = lambda p, _: F.when(F.ltrim(p).startswith('"'), _get(F.try_parse_json(p), "$", "string")).otherwise(p)
+    return F.when(F.ltrim(payload).startswith('"'), F.aggregate(F.sequence(F.lit(1), wraps), payload, inner)).otherwise(payload)
 
 
 def nesting(payload: Column) -> Column:
@@ -87,41 +101,95 @@ def _is_object(n: Column) -> Column:
     return _get(n["v"], "$", "map<string,variant>").isNotNull()
 
 
-def graph_nodes(records: DataFrame, record: str = "record_id", doc: str = "doc_id", payload: str = "payload") -> DataFrame:
-    """One row per node of every complete payload: keys, id, nested parent, indices from the root and the raw node.
+_NOTHING = "array<struct<v:variant,id:string,above:string,lineage:array<int>>>"
 
-    A fold over the tree levels of each payload, as many as its own brackets allow, so that any depth is followed.
-    """
-    keys = ["record", "doc"]
-    base = records.select(F.col(record).alias("record"), F.col(doc).alias("doc"), unwrapped(F.col(payload).cast("string")).alias("payload"))
-    # a tree level takes an object and an array
-    v = base.select(*keys, (F.floor(nesting(F.col("payload")) / 2) + 1).cast("int").alias("levels"), F.try_parse_json("payload").alias("v"))
-    graphs = v.select(
-        *keys,
-        "levels",
-        F.coalesce(*[_get(F.col("v"), f"{p}.nodes", "variant") for p in WRAPPERS]).alias("many"),
-        F.coalesce(*[_get(F.col("v"), f"{p}.root", "variant") for p in WRAPPERS]).alias("root"),
+
+def _graphs(v: Column, payload: Column) -> Column:
+    """The objects nearest to the top that hold nodes or a root, with the text they were parsed from."""
+    nothing = F.array().cast("array<struct<v:variant,text:string>>")
+    is_graph = lambda x: _get(x["v"], "$.nodes", "variant").isNotNull() | _get(x["v"], "$.root", "variant").isNotNull()
+    # a string that holds JSON is opened like an object
+    opened = lambda t: F.when(F.ltrim(t).rlike(r'^[\[{"]'), F.filter(F.array(F.struct(F.try_parse_json(t).alias("v"), t.alias("text"))), lambda x: x["v"].isNotNull()))
+    inside = lambda x: F.coalesce(
+        F.transform(F.coalesce(F.map_values(_get(x["v"], "$", "map<string,variant>")), _get(x["v"], "$", "array<variant>")), lambda c: F.struct(c.alias("v"), x["text"].alias("text"))),
+        opened(_get(x["v"], "$", "string")),
+        nothing,
     )
-    nothing = F.array().cast("array<struct<v:variant,id:string,above:string,lineage:array<int>>>")
-    no = F.lit(None).cast("string")
-    top = F.filter(
+
+    def step(s: Column, _: Column) -> Column:
+        found = F.filter(s["level"], is_graph)
+        go_on = F.struct(F.flatten(F.transform(s["level"], inside)).alias("level"), nothing.alias("found"))
+        looked = F.when(F.size(found) > 0, F.struct(nothing.alias("level"), found.alias("found"))).otherwise(go_on)
+        return F.when((F.size(s["found"]) > 0) | (F.size(s["level"]) == 0), s).otherwise(looked)
+
+    # brackets inside strings count where a string may hold JSON
+    steps = F.when(payload.rlike(r'[:\[,]\s*\\*"\s*[\[{]'), F.regexp_count(payload, F.lit(r"[\[{]"))).otherwise(nesting(payload)) + 1
+    start = F.struct(F.array(F.struct(v.alias("v"), payload.alias("text"))).alias("level"), nothing.alias("found"))
+    # most graphs lie at the top
+    return F.when(is_graph(start["level"][0]), start["level"]).otherwise(F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["found"]))
+
+
+def _top(graph: Column) -> Column:
+    """The first nodes of a graph: listed, keyed, or the root."""
+    no, nothing = F.lit(None).cast("string"), F.array().cast(_NOTHING)
+    many, root = _get(graph, "$.nodes", "variant"), _get(graph, "$.root", "variant")
+    return F.filter(
         F.concat(
-            F.coalesce(F.transform(_get(F.col("many"), "$", "array<variant>"), lambda n, i: _node(n, no, no, F.array(i.cast("int")))), nothing),
-            F.coalesce(F.transform(F.map_entries(_get(F.col("many"), "$", "map<string,variant>")), lambda e, i: _node(e["value"], e["key"], no, F.array(i.cast("int")))), nothing),
-            F.coalesce(F.when(F.col("root").isNotNull(), F.array(_node(F.col("root"), no, no, F.array(F.lit(0))))), nothing),
+            F.coalesce(F.transform(_get(many, "$", "array<variant>"), lambda n, i: _node(n, no, no, F.array(i.cast("int")))), nothing),
+            F.coalesce(F.transform(F.map_entries(_get(many, "$", "map<string,variant>")), lambda e, i: _node(e["value"], e["key"], no, F.array(i.cast("int")))), nothing),
+            F.coalesce(F.when(root.isNotNull(), F.array(_node(root, no, no, F.array(F.lit(0))))), nothing),
         ),
         _is_object,
     )
-    seeds = graphs.select(*keys, "levels", top.alias("top"))
+
+
+def _fields(n: Column, whole: bool) -> Column:
+    """A node's own fields: for links its ids and those it names, for all tables the rest as well."""
+    v = n["v"]
+    kids = F.transform(_get(v, "$.children", "array<variant>"), lambda c: F.coalesce(_get(c, "$.id", "string"), _get(c, "$", "string")))
+    own = [n["id"].alias("id"), n["above"].alias("above"), n["lineage"].alias("lineage"), _get(v, "$.parent", "string").alias("parent"), kids.alias("kids")]
+    if not whole:
+        return F.struct(*own)
+    crumbs = "$.location.semantic.breadcrumbs"
+    return F.struct(
+        *own,
+        _get(v, "$.node_type", "string").alias("node_type"),
+        _get(v, "$.location.semantic.path", "string").alias("path"),
+        _get(v, "$.location.semantic.depth", "int").alias("depth"),
+        _get(v, "$.location.physical.page", "int").alias("page"),
+        _get(v, "$.text_order", "int").alias("text_order"),
+        _get(v, "$.content.text", "string").alias("text"),
+        _get(v, "$.token_count", "bigint").alias("token_count"),
+        _box(v, "$.location.physical.bounding_box").alias("box"),
+        # crumbs given as one string are split at the separator
+        F.coalesce(_get(v, crumbs, "array<string>"), F.split(_get(v, crumbs, "string"), CRUMB_SEPARATOR)).alias("crumbs"),
+    )
+
+
+def graph_nodes(records: DataFrame, record: str = "record_id", doc: str = "doc_id", payload: str = "payload", whole: bool = True) -> DataFrame:
+    """One row per node of every complete payload: keys, id, nested parent, indices from the root and the fields (see ``_fields``).
+
+    A fold over the tree levels of each payload, as many as its own brackets allow, so that any depth is followed.
+    """
+    keys = ["record", "doc"]
+    base = records.select(F.col(record).alias("record"), F.col(doc).alias("doc"), unwrapped(F.col(payload).cast("string")).alias("payload"))
+    v = base.select(*keys, "payload", F.try_parse_json("payload").alias("v")).filter("v is not null")
+    graphs = v.select(*keys, _graphs(F.col("v"), F.col("payload")).alias("graphs")).filter("size(graphs) > 0")
+    # a tree level takes an object and an array
+    depth = F.array_max(F.transform("graphs", lambda g: nesting(g["text"])))
+    seeds = graphs.select(*keys, (F.floor(depth / 2) + 1).cast("int").alias("levels"), F.flatten(F.transform("graphs", lambda g: _top(g["v"]))).alias("top"))
+    nothing = F.array().cast(_NOTHING)
+    fields = lambda level: F.transform(level, lambda n: _fields(n, whole))
 
     def step(s: Column, _: Column) -> Column:
-        below = F.when(F.size(s["level"]) > 0, F.filter(_level_below(s["level"]), _is_object)).otherwise(nothing)
         # the one-element array binds the new level, so that it is computed once
-        return F.element_at(F.transform(F.array(below), lambda b: F.struct(b.alias("level"), F.concat(s["every"], b).alias("every"))), 1)
+        below = F.transform(F.array(F.filter(_level_below(s["level"]), _is_object)), lambda b: F.struct(b.alias("level"), F.when(F.size(b) > 0, F.concat(s["every"], fields(b))).otherwise(s["every"]).alias("every")))
+        return F.when(F.size(s["level"]) > 0, F.element_at(below, 1)).otherwise(F.struct(nothing.alias("level"), s["every"].alias("every")))
 
-    start = F.struct(F.col("top").alias("level"), F.col("top").alias("every"))
+    start = F.struct(F.col("top").alias("level"), fields(F.col("top")).alias("every"))
     tree = F.aggregate(F.sequence(F.lit(1), F.col("levels")), start, step, lambda s: s["every"])
-    return seeds.filter(F.size("top") > 0).select(*keys, F.inline(tree))
+    # the outer form, as before the other one the optimizer computes the fold once more to filter by its size
+    return seeds.select(*keys, F.inline_outer(tree)).filter("lineage is not null")
 
 
 def stated_links(nodes: DataFrame) -> DataFrame:
@@ -130,17 +198,10 @@ def stated_links(nodes: DataFrame) -> DataFrame:
     One shuffle, on the record: node rows and link rows travel together and two windows, both inside a record, tell
     which ids are known.
     """
-    v = F.col("v")
-    inner = F.transform(
-        F.coalesce(_get(v, "$.children", "array<variant>"), F.array().cast("array<variant>")),
-        lambda c: F.struct(F.col("id").alias("p"), F.coalesce(_get(c, "$.id", "string"), _get(c, "$", "string")).alias("c"), F.lit(0).alias("is_node")),
-    )
-    own = F.array(
-        F.struct(F.lit(None).cast("string").alias("p"), F.col("id").alias("c"), F.lit(1).alias("is_node")),
-        F.struct(_get(v, "$.parent", "string").alias("p"), F.col("id").alias("c"), F.lit(0).alias("is_node")),
-        F.struct(F.col("above").alias("p"), F.col("id").alias("c"), F.lit(0).alias("is_node")),
-    )
-    rows = nodes.select("record", "doc", F.inline(F.concat(own, inner))).filter("c is not null and (is_node = 1 or p is not null)")
+    row = lambda p, c, known: F.struct(p.alias("p"), c.alias("c"), F.lit(known).alias("is_node"))
+    inner = F.transform(F.coalesce("kids", F.array().cast("array<string>")), lambda c: row(F.col("id"), c, 0))
+    own = F.array(row(F.lit(None).cast("string"), F.col("id"), 1), row(F.col("parent"), F.col("id"), 0), row(F.col("above"), F.col("id"), 0))
+    rows = nodes.select("record", "doc", F.inline_outer(F.concat(own, inner))).filter("c is not null and (is_node = 1 or p is not null)")
     rows = rows.repartition("record")
     child = Window.partitionBy("record", "c")
     parent = Window.partitionBy("record", "k")
@@ -170,37 +231,25 @@ def _box(v: Column, path: str) -> Column:
 
 
 def flatten_graphs(records: DataFrame, record: str = "record_id", doc: str = "doc_id", payload: str = "payload") -> FlatGraph:
-    """Nodes, boxes, breadcrumbs and links of every complete payload (see the module for the defined cases)."""
-    found = graph_nodes(records, record, doc, payload)
-    known = found.filter("id is not null")
-    v = F.col("v")
-    page = _get(v, "$.location.physical.page", "int")
+    """Nodes, boxes, breadcrumbs and links of every complete payload (see the module for the defined cases).
+
+    The payloads are parsed once for nodes, boxes and breadcrumbs, and, with fewer fields, once for the links.
+    """
+    made: list[DataFrame] = []
+
+    def known() -> DataFrame:
+        if not made:
+            made.append(checkpointed(graph_nodes(records, record, doc, payload)).filter("id is not null"))
+        return made[0]
+
     keys = [F.col("record").alias(record), F.col("doc").alias(doc), F.col("id").alias("node_id")]
-    nodes = known.select(
-        *keys,
-        _get(v, "$.node_type", "string").alias("node_type"),
-        _get(v, "$.location.semantic.path", "string").alias("path"),
-        _get(v, "$.location.semantic.depth", "int").alias("depth"),
-        page.alias("page"),
-        _get(v, "$.text_order", "int").alias("text_order"),
-        _get(v, "$.content.text", "string").alias("text"),
-        _get(v, "$.token_count", "bigint").alias("token_count"),
-    ).distinct()
-    boxes = (
-        known.select(*keys, page.alias("page"), F.inline(F.array(_box(v, "$.location.physical.bounding_box"))))
-        .filter("coalesce(x, y, width, height) is not null")
-        .distinct()
-    )
-    # crumbs given as one string are split at the separator
-    crumbs = F.coalesce(
-        _get(v, "$.location.semantic.breadcrumbs", "array<string>"),
-        F.split(_get(v, "$.location.semantic.breadcrumbs", "string"), CRUMB_SEPARATOR),
+    place = lambda c, i: F.struct(i.cast("int").alias("position"), c.alias("crumb"))
+    return FlatGraph(
+        lambda: known().select(*keys, "node_type", "path", "depth", "page", "text_order", "text", "token_count").distinct(),
+        lambda: known().select(*keys, "page", F.inline(F.array("box"))).filter("coalesce(x, y, width, height) is not null").distinct(),
+        lambda: known().select(*keys, F.inline(F.transform("crumbs", place))).distinct(),
+        lambda: stated_links(graph_nodes(records, record, doc, payload, whole=False)).select(F.col("record").alias(record), F.col("doc").alias(doc), "parent_id", "child_id"),
     )
-    breadcrumbs = known.select(
-        *keys, F.inline(F.transform(crumbs, lambda c, i: F.struct(i.cast("int").alias("position"), c.alias("crumb"))))
-    ).distinct()
-    links = stated_links(found).select(F.col("record").alias(record), F.col("doc").alias(doc), "parent_id", "child_id")
-    return FlatGraph(nodes, boxes, breadcrumbs, links)
 
 
 def flatten_node_structs(nodes: DataFrame) -> FlatGraph:
@@ -245,4 +294,4 @@ def flatten_node_structs(nodes: DataFrame) -> FlatGraph:
         .filter("is_node = 0 and child_known = 1 and parent_known = 1")
         .select("doc_id", F.col("p").alias("parent_id"), F.col("c").alias("child_id"))
     )
-    return FlatGraph(flat, boxes, crumbs, links)
+    return FlatGraph(lambda: flat, lambda: boxes, lambda: crumbs, lambda: links)

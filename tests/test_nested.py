@@ -20,6 +20,20 @@ def test_layouts_and_wrappers_state_the_same_links(spark):
     assert links(spark, *texts) == [(i, "r", c) for i in range(4) for c in "ab"]
 
 
+def test_graphs_are_found_anywhere(spark):
+    listed = {"nodes": [{"id": "r", "children": ["a"]}, {"id": "a"}]}
+    tree = {"root": {"id": "r", "children": [{"id": "a", "children": [{"id": "b", "children": [{"id": "c"}]}]}]}}
+    wrapped = json.dumps(listed)
+    for _ in range(4):
+        wrapped = json.dumps(wrapped)
+    texts = [
+        json.dumps({"response": {"graph": listed}}), json.dumps([{"x": 1}, {"any": [{"deep": listed}]}]), wrapped,
+        json.dumps({"meta": "]]}}", "body": json.dumps({"inner": json.dumps(listed)})}), json.dumps({"graph": listed, "other": {"deep": {"nodes": [{"id": "q", "parent": "q"}]}}}),
+    ]
+    assert links(spark, *texts) == [(i, "r", "a") for i in range(5)]
+    assert links(spark, json.dumps({"payload": json.dumps(tree)})) == [(0, "a", "b"), (0, "b", "c"), (0, "r", "a")]
+
+
 def test_incomplete_null_and_foreign_payloads_state_nothing(spark):
     assert links(spark, '{"nodes":[{"id":"r","children":["a"]},{"id":"a"}', None, "", "[]", "1", '{"other":1}', '{"nodes":null}') == []
 
