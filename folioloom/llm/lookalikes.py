@@ -1,15 +1,15 @@
 """One form for text that looks the same (problem 2).
 
 Tokens (between blanks) that hold anything beyond plain ASCII are suspicious. The vocabulary is every token spelling of
-the corpus with its count. For each suspicious token a trie of the vocabulary is traversed by a weighted edit
-automaton: a character costs nothing against any look-alike of it, ignorable characters cost nothing at all, anything
-else is not allowed (its cost exceeds the bound of 0). Of the clean spellings so reached the most frequent one is the
-canonical spelling; a token that reaches none is normalised by table. All spellings of one look therefore get the same
-canonical one, and two texts look the same exactly if their canonical texts are equal.
+the corpus with its count. Tries of the vocabulary, each of many different words, are traversed for each suspicious token by a
+weighted edit automaton: against a look-alike a character costs nothing, an ignorable character costs nothing to insert or
+drop, every other edit costs its weight, and paths whose cost exceeds the bound (0 here) end. Of the clean spellings so
+reached the most frequent one is the canonical spelling; a token that reaches none is normalised by table. All spellings of
+one look therefore get the same canonical one, and two texts look the same exactly if their canonical texts are equal.
 
-A vocabulary may be of any size, so it is never broadcast: tries are built per shard, and as zero-cost readings of a token
-share its skeleton (each character replaced by its class, ignorables dropped), vocabulary and tokens meet in the shard
-of the skeleton's hash.
+A vocabulary may be of any size, so it is never broadcast: tries are built per shard of the vocabulary. What a token reaches at
+no cost has its skeleton (each character replaced by its class, ignorables dropped), so that a hash of the skeleton names
+the one shard that holds all of it; the tests hold this against a search of the whole vocabulary.
 
 Defined results: a null text has a null canonical text; an empty one an empty one; every blank becomes a space (their
 number is kept, since a reader sees it); a class that has an ASCII spelling in the corpus takes it, so that plain texts are
@@ -41,8 +41,10 @@ IGNORABLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡
 BLANK = "\t\n\x0b\x0c\r\u0085                 ⠀　ㅤﾠ"
 #: What makes a token suspicious.
 SUSPICIOUS = "[^\\u0000-\\u007e]"
-#: Longer looks are no vocabulary words: all their spellings are normalised by table.
-LONGEST = 64
+#: Weights of the edits that a reader sees: another character, one more or one less.
+REPLACED, ADDED = 1, 1
+#: Rows of one look that one task pairs with the others; larger looks are spread over salts.
+PAIRED = 1024
 #: Characters of vocabulary in one trie; a shard with more is cut between two looks.
 TRIE_CHARS = 1_000_000
 
@@ -102,30 +104,35 @@ class Trie:
             node = node[0].setdefault(c, [{}, []])
         node[1].append((count, spelling))
 
-    def reach(self, token: str) -> list[tuple[int, str]]:
-        """All spellings at cost 0 from ``token``.
+    def reach(self, token: str, bound: int = 0) -> list[tuple[int, str]]:
+        """All spellings at a cost of at most ``bound`` from ``token``.
 
-        The automaton's states are the trie nodes reached so far. It reads the token's classes one by one; an edge is
-        followed if its own class is what is read, an edge of an ignorable without reading, and a ligature's edge by
-        reading its letters.
+        The automaton reads the token's characters as the classes they look like. Its states are trie nodes with a place in the
+        token; a state is entered again only at a lower cost.
         """
         look = classes()
-        text = unicodedata.normalize("NFD", skeleton(token))
-        found: list[tuple[int, str]] = []
-        seen: set[tuple[int, int]] = set()
-        todo = [(self.root, 0)]
+        read = unicodedata.normalize("NFD", skeleton(token))
+        best: dict[tuple[int, int], int] = {}
+        ends: dict[int, list] = {}
+        todo = [(0, self.root, 0)]
         while todo:
-            node, at = todo.pop()
-            if (id(node), at) in seen:
+            cost, node, at = todo.pop()
+            if best.get((id(node), at), bound + 1) <= cost:
                 continue
-            seen.add((id(node), at))
-            if at == len(text):
-                found += node[1]
+            best[id(node), at] = cost
+            if at == len(read) and node[1]:
+                ends[id(node)] = node[1]
+            if at < len(read) and cost + ADDED <= bound:
+                todo.append((cost + ADDED, node, at + 1))
             for c, child in node[0].items():
-                reads = look.get(c, c)
-                if text.startswith(reads, at):
-                    todo.append((child, at + len(reads)))
-        return found
+                edge = look.get(c, c)
+                # an ignorable's edge is empty and free, a ligature's reads all its letters
+                wrong = sum(a != b for a, b in zip(edge, read[at : at + len(edge)]))
+                if at + len(edge) <= len(read) and cost + wrong * REPLACED <= bound:
+                    todo.append((cost + wrong * REPLACED, child, at + len(edge)))
+                if edge and cost + len(edge) * ADDED <= bound:
+                    todo.append((cost + len(edge) * ADDED, child, at))
+        return [s for spellings in ends.values() for s in spellings]
 
 
 def canonical_spelling(token: str, trie: Trie) -> str:
@@ -170,7 +177,7 @@ def spellings(texts: DataFrame, text_col: str = "text") -> DataFrame:
                     out += [(t, canonical_spelling(t, trie)) for t in odd]
                     trie, odd, chars = Trie(), [], 0
                 last = look
-                if len(look) <= LONGEST and clean(token):
+                if clean(token):
                     trie.add(token, int(n))
                     chars += len(token)
                 if not token.isascii():
@@ -208,19 +215,41 @@ def canonical_texts(rows: DataFrame, keys: list[str], text_col: str = "text") ->
     return plain.unionByName(again)
 
 
-def equal_looking(rows: DataFrame, scope: list[str], id_col: str, text_col: str) -> DataFrame:
-    """Pairs (id_a < id_b) inside a scope whose texts look the same but aren't the same string.
+def looks(rows: DataFrame, scope: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Scope, id, look and own (hashes of canonical and given text) of the rows whose look has different texts in the scope, and how many rows it has.
 
-    Groups in which all texts are the same string are dropped before the join; of each other group only different
-    strings meet.
+    Looks of which all texts are the same string are dropped.
     """
     known = rows.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(*scope, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = checkpointed(canonical_texts(known, [*scope, "id"]).select(*scope, "id", F.unhex(F.sha2("canonical", 256)).alias("look"), F.unhex(F.sha2("text", 256)).alias("own")))
     at = [*scope, "look"]
-    mixed = texts.groupBy(*at).agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a <> b").select(*at)
-    few = texts.join(mixed, at, "left_semi")
-    other = few.select(*at, F.col("id").alias("id_b"), F.col("own").alias("own_b"))
-    return few.join(other, at).filter("id < id_b and own <> own_b").select(F.col("id").alias("id_a"), "id_b").distinct()
+    mixed = texts.groupBy(*at).agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min("id").alias("first_id"), F.count("*").alias("n")).filter("a <> b").select(*at, "first_id", "n")
+    return texts.join(mixed, at)
+
+
+def members(rows: DataFrame, scope: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Scope, id, class_id (the look's smallest id), spelling (the SHA-256 of the text): one row a text with equal-looking others."""
+    few = looks(rows, scope, id_col, text_col).select(*scope, "id", F.col("first_id").alias("class_id"), F.hex("own").alias("spelling"))
+    return few.distinct()
+
+
+def equal_looking(rows: DataFrame, scope: list[str], id_col: str, text_col: str) -> DataFrame:
+    """Pairs (id_a < id_b) inside a scope whose texts look the same but aren't the same string.
+
+    Of a look only different strings meet; a look of many rows is spread over as many salts as it has PAIRED rows.
+    """
+    few = looks(rows, scope, id_col, text_col).withColumn("salts", F.ceil(F.col("n") / PAIRED).cast("int"))
+    at = [*scope, "look", "_salt"]
+    left = few.withColumn("_salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).select(*at, "id", "own")
+    other = few.select(*scope, "look", F.col("id").alias("id_b"), F.col("own").alias("own_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("_salt"))
+    return left.join(other, at).filter("id < id_b and own <> own_b").select(F.col("id").alias("id_a"), "id_b").distinct()
+
+
+def memberships(nodes: DataFrame, metadata: DataFrame) -> DataFrame:
+    """field, id, class_id, spelling: the classes of equal-looking texts, without their pairs."""
+    texts = members(nodes.select("doc_id", "id", F.col("content.text").alias("text")), ["doc_id"], "id", "text")
+    titles = members(metadata.select("root_id", "title"), [], "root_id", "title")
+    return texts.select(F.lit("text").alias("field"), "id", "class_id", "spelling").unionByName(titles.select(F.lit("title").alias("field"), "id", "class_id", "spelling"))
 
 
 def pairs(nodes: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -13,6 +13,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.pairs(table(spark, d, "nodes"), table(spark, d, "document_metadata"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of equal-looking texts as membership: one row a text, whatever the number of its pairs."""
+    return lookalikes.memberships(table(spark, d, "nodes"), table(spark, d, "document_metadata"))
+
+
 def p2_node_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every node's text in its canonical form."""
     nodes = table(spark, d, "nodes").select("doc_id", F.col("id").alias("node_id"), F.col("content.text").alias("text"))
@@ -83,6 +88,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_classes": p2_classes,
     "p2_node_texts": p2_node_texts,
     "p2_titles": p2_titles,
     "p2_spellings": p2_spellings,
@@ -123,6 +129,11 @@ m AS (SELECT DISTINCT root_id AS id, title AS own, {_look("title")} AS look FROM
 SELECT DISTINCT 'text' AS field, a.id AS id_a, b.id AS id_b FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.look = b.look AND a.id < b.id AND a.own <> b.own
 UNION ALL
 SELECT DISTINCT 'title', a.id, b.id FROM m a JOIN m b ON a.look = b.look AND a.id < b.id AND a.own <> b.own""",
+    "p2_classes": f"""
+WITH t AS (SELECT DISTINCT 'text' AS field, doc_id, id, content.text AS own, {_look("content.text")} AS look FROM nodes WHERE id IS NOT NULL AND content.text IS NOT NULL
+  UNION SELECT 'title', NULL, root_id, title, {_look("title")} FROM document_metadata WHERE root_id IS NOT NULL AND title IS NOT NULL)
+SELECT DISTINCT t.field, t.id, c.class_id, upper(sha256(t.own)) AS spelling FROM t
+JOIN (SELECT field, doc_id, look, min(id) AS class_id FROM t GROUP BY ALL HAVING count(DISTINCT own) > 1) c ON c.field = t.field AND c.doc_id IS NOT DISTINCT FROM t.doc_id AND c.look = t.look""",
     "p4_found": """
 SELECT DISTINCT n.id AS node_id
 FROM nodes n JOIN document_metadata m ON m.doc_id = n.doc_id

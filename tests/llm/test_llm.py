@@ -48,17 +48,57 @@ def test_lookalikes_empty_tables_and_long_tokens(spark):
     assert len({r.canonical for r in lookalikes.canonical_texts(df, ["id"]).collect()}) == 1
 
 
-def test_automaton_equals_brute_force():
+def weighted(a, b):
+    """The edit cost of two texts by brute force: classes for characters, ignorables free."""
+    import unicodedata
+
+    a, b = (unicodedata.normalize("NFD", lookalikes.skeleton(x)) for x in (a, b))
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("bound", [0, 1, 2])
+def test_automaton_equals_brute_force(bound):
     rng = random.Random(3)
-    alphabet = "aаoоcсxхé́e​fiﬁ"
-    vocab = list({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 4))) for _ in range(300)})
+    alphabet = "aаoоcсxхé\u0301e\u200bn"
+    vocab = list({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 4))) for _ in range(200)})
     trie = lookalikes.Trie()
     for v in vocab:
         trie.add(v, 1)
     for t in vocab:
-        want = {v for v in vocab if lookalikes.skeleton(v) == lookalikes.skeleton(t)}
-        got = {s for _, s in trie.reach(t)}
-        assert want == got, (t, want ^ got)
+        assert {v for v in vocab if weighted(v, t) <= bound} == {s for _, s in trie.reach(t, bound)}, t
+
+
+def test_ligatures_are_read_at_no_cost():
+    trie = lookalikes.Trie()
+    for v in ("fine", "ﬁne", "f\u200bine", "fune", "fin"):
+        trie.add(v, 1)
+    assert {s for _, s in trie.reach("ﬁ\u00adne")} == {"fine", "ﬁne", "f\u200bine"}
+
+
+def test_shards_hold_all_that_a_search_of_the_whole_vocabulary_reaches(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aаoоcсpрeеxх") for _ in range(rng.randint(1, 5))) for _ in range(600)]
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    trie = lookalikes.Trie()
+    for w, n in Counter(words).items():
+        if lookalikes.clean(w):
+            trie.add(w, n)
+    want = {w: c for w in set(words) if not w.isascii() and (c := lookalikes.canonical_spelling(w, trie)) != w}
+    assert {r.token: r.canonical for r in lookalikes.spellings(df).collect()} == want
+
+
+def test_a_look_of_many_rows_is_spread_and_has_classes(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "PAIRED", 7)
+    rows = [node(1, f"a{i:02}", "Scope") for i in range(20)] + [node(1, f"b{i:02}", "Sсope") for i in range(20)] + [node(1, "c", "Other")]
+    n, md = spark.createDataFrame(rows, NODES), spark.createDataFrame([], META)
+    assert sorted((r.id_a, r.id_b) for r in lookalikes.pairs(n, md).collect()) == sorted((f"a{i:02}", f"b{j:02}") for i in range(20) for j in range(20))
+    got = lookalikes.memberships(n, md).collect()
+    assert len(got) == 40 and {r.class_id for r in got} == {"a00"} and len({r.spelling for r in got}) == 2
 
 
 # -- scans
