@@ -43,7 +43,7 @@ RARER, RARER_CLEAN = 10, 50
 #: Confusions allowed in one word.
 MOST_CONFUSIONS = 2
 #: Tables of at most so many rows are broadcast (they are counted first); larger ones are joined by shuffles.
-FEW = 1 << 18
+FEW = 1 << 16
 BLOCK = 512
 #: What is printed, and what a scanner makes of it.
 CONFUSIONS = (
@@ -65,7 +65,8 @@ HAS_LETTERS = r"\p{L}{2}"
 #: Page numbers inside running text: with a sign of their own, or bare ones set apart by blanks or a bar.
 _SIGNED = rf"(?:(?i:p[aoe4]g[ec]|seite) {_DIGITS}(?: (?:of|o[fl]|von) {_DIGITS})?|(?i:p)\. ?{_DIGITS}|[—–-] {_DIGITS} [—–-]|\[{_DIGITS}\])"
 _BARE = rf"(?:{_DIGITS}|[ivxlc]+)\.?"
-_CAPITALS = r"(?:\p{Lu}{2,}|\p{Lu}[\p{Lu}0-9]{3,})(?: (?:\p{Lu}{2,}|\p{Lu}[\p{Lu}0-9]{3,}))+"
+_CAPITAL = r"(?>\p{Lu}{2}[\p{Lu}0-9]*+|\p{Lu}[\p{Lu}0-9]{3,}+)(?![\p{L}\p{N}])"
+_CAPITALS = rf"{_CAPITAL}(?: {_CAPITAL})++"
 _AFTER_TEXT = rf"(?<=[{HYPHENS}\p{{Ll}}\p{{N}}.,;:!?)] )"
 SPAN = (
     rf"{_AFTER_TEXT}(?:(?:{_SIGNED}|{_BARE})(?: {{2,}}| \| )|{_SIGNED} )?{_CAPITALS}(?:(?: {{2,}}| \| | )(?:{_SIGNED}|{_BARE})(?= ))?(?= +\S*\p{{Ll}})"
@@ -257,6 +258,9 @@ class Scans:
         c = c.withColumn("signs", small + margin + (F.col("number") | F.col("both")).cast("int") + sure)
         # a mask decides only where another sign speaks for a whole paragraph, or for a short line
         c = c.withColumn("mask", F.when(~F.col("number") & F.when(single, (F.col("node_type") == "Section") | (F.col("signs") > 0)).otherwise(F.col("short") | F.col("both")), F.nullif(masked(line), F.lit(""))))
+        # what no rule below can take goes before anything moves
+        open_end = ~line.rlike(r"[.!?;,]$")
+        c = c.filter((F.col("node_type") == "Section") | F.when(single, F.col("signs") > 0).otherwise(F.col("number") | F.col("both") | F.col("short") & open_end))
         c = checkpointed(c.drop("size", "y", "body_size", "top", "bottom", "printed").distinct())
         titles = self.metadata.select("doc_id", masked(F.col("title")).alias("mask")).filter("mask <> ''")
         headings = c.filter("node_type = 'Section' and mask is not null").select("doc_id", "mask")
@@ -343,8 +347,11 @@ class Scans:
         docs = checkpointed(open_.select("doc_id").distinct())
         starts = self.body.filter("text_order is not null").join(_few(docs), "doc_id", "left_semi").select("doc_id", "id", "text_order", F.regexp_extract("text", r"^\s*(\S+)", 1).alias("first"))
         whole = self.furniture.filter("furniture = 'furniture'").select("doc_id", "id").distinct()
-        starts = starts.filter("first <> ''").distinct().join(whole, ["doc_id", "id"], "left_anti").withColumn("block", F.floor(F.col("text_order") / BLOCK))
-        starts = starts.withColumn("next", F.lead(F.struct("first", "id")).over(Window.partitionBy("doc_id", "block").orderBy("text_order", "id")))
+        starts = starts.filter("first <> ''").join(_few(checkpointed(whole)), ["doc_id", "id"], "left_anti").withColumn("block", F.floor(F.col("text_order") / BLOCK))
+        # a repeated row stands beside itself and goes after the window has seen it
+        in_block = Window.partitionBy("doc_id", "block").orderBy("text_order", "id")
+        starts = starts.withColumn("again", F.lag("id").over(in_block) == F.col("id")).filter("again is null or not again").drop("again")
+        starts = starts.withColumn("next", F.lead(F.struct("first", "id")).over(in_block))
         opening = starts.groupBy("doc_id", "block").agg(F.min(F.struct("text_order", "id", "first")).alias("h"))
         bridge = opening.withColumn("onward", F.lead(F.struct("h.first", "h.id")).over(Window.partitionBy("doc_id").orderBy("block"))).select("doc_id", "block", "onward")
         starts = starts.join(bridge, ["doc_id", "block"]).select("doc_id", "id", F.coalesce("next", "onward").alias("next")).filter("next is not null")
@@ -514,13 +521,19 @@ class Scans:
 
     # -- results
 
+    @cached_property
+    def _words_few(self) -> DataFrame:
+        return _few(self.words)
+
     def _judged(self, cuts: DataFrame) -> DataFrame:
         """The cuts with the word, if the vocabulary knows the halves as one word, or else as a compound with its own hyphen."""
-        w = self.words.filter("n > 0")
+        keys = ("word", "compound", "a", "b")
         c = cuts.withColumn("word", F.coalesce("form", "joined"))
-        for key in ("word", "compound", "a", "b"):
-            c = c.join(w.select(F.col("word").alias(key), F.col("n").alias(f"n_{key}")), key, "left")
-        n = {k: F.coalesce(f"n_{k}", F.lit(0)) for k in ("word", "compound", "a", "b")}
+        # one row a word of the cut, so that the vocabulary is joined once
+        each = c.withColumn("asked", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("text")) for k in keys])))
+        each = each.join(self._words_few.select(F.col("word").alias("_word"), F.col("n").alias("_n")), F.col("asked.text") == F.col("_word"), "left")
+        c = each.groupBy(*c.columns).agg(*[F.coalesce(F.max(F.when(F.col("asked.key") == k, F.col("_n"))), F.lit(0)).alias(f"n_{k}") for k in keys])
+        n = {k: F.col(f"n_{k}") for k in keys}
         known = (n["word"] > 0) & (n["word"] >= n["compound"])
         fragments = (n["compound"] == 0) & (n["word"] == 0) & (n["a"] == 0) & (n["b"] == 0)
         kind = F.when(known | fragments, "word").when(n["compound"] > 0, "compound")
