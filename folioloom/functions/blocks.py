@@ -46,6 +46,11 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns, dtype=object)
 
 
+def kind(df: DataFrame, column: str) -> str:
+    """The column's type in DDL, for the schemas of folds over keys of any type."""
+    return df.schema[column].dataType.simpleString()
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable, finish: Callable | None = None) -> DataFrame:
     """An ordered fold inside each group of ``keys``; ``step(state, row) -> iterable of output tuples``.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.config import Clustering
-from folioloom.functions.blocks import fold
+from folioloom.functions.blocks import fold, kind
 
 BOX = "struct<x:float,y:float,width:float,height:float>"
 
@@ -75,7 +75,7 @@ def merge_neighbours(parsed: DataFrame, config: Clustering) -> DataFrame:
         b = state["box"] if state["whole"] else (None,) * 4
         yield row["doc_id"], row["page_number"], row["reading_order"], state["head"], *b
 
-    schema = "doc_id bigint, page_number int, reading_order int, head int, x float, y float, width float, height float"
+    schema = f"doc_id {kind(keep, 'doc_id')}, page_number int, reading_order int, head int, x float, y float, width float, height float"
     heads = fold(keep, ["doc_id", "page_number"], ["reading_order"], schema, dict, step)
     joined = parsed.drop("bounding_box").join(heads, ["doc_id", "page_number", "reading_order"])
     rest = [c for c in parsed.columns if c not in ("doc_id", "page_number", "text", "bounding_box", "token_count")]

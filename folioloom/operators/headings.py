@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioloom.config import Headings
-from folioloom.functions.blocks import before, fold
+from folioloom.functions.blocks import before, fold, kind
 from folioloom.functions.text import is_bold, trimmed
+from folioloom.session import checkpointed
 
 
 def mark_headings(parsed: DataFrame, sizes: DataFrame, config: Headings) -> DataFrame:
@@ -54,26 +55,29 @@ def next_level(level: int, last: float | None, fonts: list[float], size: float,
     return new
 
 
-def heading_levels(marked: DataFrame, config: Headings) -> DataFrame:
-    """doc_id, heading (its number in the document), level, of every heading."""
-    numbered = before(marked, ["doc_id"], "reading_order", F.col("is_heading").cast("int"), "heading")
-    heads = numbered.filter("is_heading").select("doc_id", "heading", F.col("style_info.font_size").cast("double").alias("size"))
+def numbered_headings(marked: DataFrame) -> DataFrame:
+    """``marked`` with ``heading``, the number of headings before each row."""
+    return before(marked, ["doc_id"], "reading_order", F.col("is_heading").cast("int"), "heading")
+
+
+def heading_levels(marked: DataFrame, config: Headings, numbered: DataFrame | None = None) -> DataFrame:
+    """doc_id, heading (its number in the document), level, of every heading; ``numbered`` spares a second count."""
+    heads = (numbered_headings(marked) if numbered is None else numbered).filter("is_heading").select("doc_id", "heading", F.col("style_info.font_size").cast("double").alias("size"))
 
     def step(state: dict, row: dict):
         state["level"] = next_level(state["level"], state["last"], state["fonts"], row["size"], config)
         state["last"] = row["size"]
         yield row["doc_id"], row["heading"], state["level"]
 
-    return fold(heads, ["doc_id"], ["heading"], "doc_id bigint, heading bigint, level int", lambda: {"level": 1, "last": None, "fonts": []}, step)
+    return fold(heads, ["doc_id"], ["heading"], f"doc_id {kind(heads, 'doc_id')}, heading bigint, level int", lambda: {"level": 1, "last": None, "fonts": []}, step)
 
 
 def detect_sections(parsed: DataFrame, sizes: DataFrame, config: Headings) -> DataFrame:
     """Headings become sections at their level, everything else lies one level below the last heading (2 before any)."""
-    marked = mark_headings(parsed, sizes, config)
-    numbered = before(marked, ["doc_id"], "reading_order", F.col("is_heading").cast("int"), "heading")
+    counted = checkpointed(numbered_headings(mark_headings(parsed, sizes, config)))
+    levels = heading_levels(counted, config, counted)
     # a content row belongs to the heading before it, a heading row to itself
-    numbered = numbered.withColumn("heading", F.when(F.col("is_heading"), F.col("heading")).otherwise(F.col("heading") - 1))
-    levels = heading_levels(marked, config)
+    numbered = counted.withColumn("heading", F.when(F.col("is_heading"), F.col("heading")).otherwise(F.col("heading") - 1))
     out = numbered.join(levels, ["doc_id", "heading"], "left")
     level = F.when(F.col("is_heading"), F.col("level")).otherwise(F.coalesce("level", F.lit(1)) + 1)
     return out.withColumn("element_type", F.when(F.col("is_heading"), "Section").otherwise(F.col("element_type"))).withColumn("hierarchy_level", level).select(*parsed.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioloom.functions.blocks import before, fold
+from folioloom.functions.blocks import before, fold, kind
 from folioloom.functions.text import is_bold, is_italic, trimmed
 
 ROOT_TEXT = "Document"
@@ -60,7 +60,7 @@ def placed(parsed: DataFrame) -> DataFrame:
             stack.append([row["text_order"], level, path, 0, crumbs, head])
         yield row["doc_id"], row["text_order"], top[0], head, path, list(crumbs)
 
-    schema = "doc_id bigint, text_order int, parent_order int, head int, below string, crumbs array<string>"
+    schema = f"doc_id {kind(rows, 'doc_id')}, text_order int, parent_order int, head int, below string, crumbs array<string>"
     out = fold(rows, ["doc_id", "segment"], ["text_order"], schema, lambda: {"stack": [[-1, 0, "", 0, [], -1]]}, step)
     tops = before(out.filter("parent_order = -1").select("doc_id", "text_order"), ["doc_id"], "text_order", F.lit(1), "ordinal").select("doc_id", F.col("text_order").alias("head"), "ordinal")
     return out.join(tops, ["doc_id", "head"]).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,18 @@ def r7_section_levels(s: SparkSession, d: str) -> DataFrame:
     return headings.detect_sections(p.parsed, p.sizes, CLI.headings).groupBy("doc_id", "element_type", "hierarchy_level").agg(F.count("*").alias("n"))
 
 
+def r4_word_headings(s: SparkSession, d: str) -> DataFrame:
+    """Headings where the configuration has section words too: a word makes a heading of any size."""
+    p = _pipeline(s, d)
+    return headings.mark_headings(p.parsed, p.sizes, replace(CLI.headings, section_patterns=WORDS)).filter("is_heading").select("doc_id", "reading_order", "text")
+
+
+def r13_ruled_elements(s: SparkSession, d: str) -> DataFrame:
+    """The elements after all rules of the preset: sections at their levels, merged by paragraph and with their neighbours."""
+    r = _pipeline(s, d).ruled
+    return r.select("doc_id", "page_number", "reading_order", "element_type", "hierarchy_level", "text", "bounding_box.*")
+
+
 def r10_paragraphs(s: SparkSession, d: str) -> DataFrame:
     m = clustering.merge_paragraphs(checkpointed(elements.parsed(_te(s, d))))
     return m.select("doc_id", "page_number", "paragraph_number", "reading_order", "text", "bounding_box.*", "token_count")
@@ -171,7 +185,9 @@ QUERIES = {
     "a8_size_analysis": a8_size_analysis,
     "r1_parsed": r1_parsed,
     "r3_headings": r3_headings,
+    "r4_word_headings": r4_word_headings,
     "r6_heading_levels": r6_heading_levels,
+    "r13_ruled_elements": r13_ruled_elements,
     "r7_section_levels": r7_section_levels,
     "r10_paragraphs": r10_paragraphs,
     "r11_clusters": r11_clusters,
@@ -253,11 +269,11 @@ _WHOLE = "coalesce(NOT isnan({0}.x + {0}.y + {0}.width + {0}.height), false)"
 _RULED = _LEVELS + f""",
 o AS (SELECT p.*, h.reading_order IS NOT NULL AS is_h, count(h.reading_order) OVER (PARTITION BY p.doc_id ORDER BY p.reading_order) - 1 AS heading
       FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.reading_order = p.reading_order),
-s AS (SELECT o.doc_id, page_number, paragraph_number, reading_order, text, bounding_box, CASE WHEN is_h THEN 'Section' ELSE 'Paragraph' END AS element_type,
+s AS (SELECT o.doc_id, page_number, paragraph_number, reading_order, text, bounding_box, token_count, CASE WHEN is_h THEN 'Section' ELSE 'Paragraph' END AS element_type,
         CAST(CASE WHEN is_h THEN level ELSE coalesce(level, 1) + 1 END AS INTEGER) AS hierarchy_level
       FROM o LEFT JOIN f ON f.doc_id = o.doc_id AND f.heading = o.heading),
 m1 AS (SELECT doc_id, page_number, min(reading_order) AS reading_order, arg_min(element_type, reading_order) AS element_type, arg_min(hierarchy_level, reading_order) AS hierarchy_level,
-         string_agg(text, ' ' ORDER BY reading_order) AS text, min(bounding_box.x) AS x, min(bounding_box.y) AS y,
+         string_agg(text, ' ' ORDER BY reading_order) AS text, sum(token_count) AS tokens, min(bounding_box.x) AS x, min(bounding_box.y) AS y,
          max(bounding_box.x + bounding_box.width) - min(bounding_box.x) AS width, max(bounding_box.y + bounding_box.height) - min(bounding_box.y) AS height
        FROM s GROUP BY doc_id, page_number, paragraph_number),
 q AS (SELECT *, strlen(text) AS bytes, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY reading_order) AS place FROM m1),
@@ -273,7 +289,7 @@ u AS (
         AND greatest(u.x + u.width, q.x + q.width) - least(u.x, q.x) < u.width + q.width + CAST({_C.horizontal_tolerance} AS FLOAT), false) AS joins
     FROM u JOIN q ON q.doc_id = u.doc_id AND q.page_number = u.page_number AND q.place = u.place + 1)),
 r AS (SELECT u.doc_id, u.page_number, head AS reading_order, any_value(u.element_type) AS element_type, any_value(u.hierarchy_level) AS hierarchy_level,
-        string_agg(q.text, ' ' ORDER BY q.place) AS text, arg_max(struct_pack(x := u.x, y := u.y, w := u.width, h := u.height), u.place) AS b
+        string_agg(q.text, ' ' ORDER BY q.place) AS text, CAST(sum(q.tokens) AS BIGINT) AS tokens, arg_max(struct_pack(x := u.x, y := u.y, w := u.width, h := u.height), u.place) AS b
       FROM u JOIN q USING (doc_id, page_number, place) GROUP BY u.doc_id, u.page_number, head),
 w AS (SELECT *, strlen({_trim('text')}) AS bytes, lag(hierarchy_level) OVER o AS pl, coalesce(lag(reading_order) OVER o + 1, 0) AS expected, lag(page_number) OVER o AS pp
       FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY page_number, reading_order)),
@@ -287,6 +303,22 @@ i AS (
   UNION ALL SELECT doc_id, 'short_section', reading_order FROM w WHERE element_type = 'Section' AND bytes < 3
   UNION ALL SELECT doc_id, 'long_section', reading_order FROM w WHERE element_type = 'Section' AND bytes > 200)
 """
+#: The same merging over untyped elements.
+_MERGED = f"""
+WITH RECURSIVE s AS (SELECT doc_id, page_number, paragraph_number, reading_order, text, bounding_box, token_count, 'Paragraph' AS element_type, 1 AS hierarchy_level FROM {_PARSED})""" + _RULED[_RULED.index(",\nm1 AS") : _RULED.index(",\nw AS")]
+#: The tree over the ruled elements by a recursion in reading order; the stack of open sections is carried along.
+_PLACED = _RULED + """,
+d AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, reading_order) - 1 AS INTEGER) AS o, element_type, hierarchy_level AS l, text, tokens FROM r),
+z AS (
+  SELECT doc_id, -1 AS o, [struct_pack(o := -1, l := 0, path := '', n := 0)] AS stack, -1 AS parent, '' AS path FROM (SELECT DISTINCT doc_id FROM d)
+  UNION ALL
+  SELECT doc_id, o, CASE WHEN element_type = 'Section'
+      THEN list_concat(open[1:coalesce(list_max(list_filter(range(1, len(open) + 1), lambda i: open[i].l < l)), 1)], [struct_pack(o := o, l := l, path := path, n := 0)]) ELSE open END, parent, path FROM (
+    SELECT *, list_concat(cut[1:len(cut) - 1], [struct_pack(o := top.o, l := top.l, path := top.path, n := top.n + 1)]) AS open, top.o AS parent,
+      CASE WHEN top.path = '' THEN '' ELSE top.path || '.' END || CAST(top.n + 1 AS VARCHAR) AS path FROM (
+      SELECT *, cut[len(cut)] AS top FROM (
+        SELECT d.*, CASE WHEN d.l <= 1 THEN z.stack[1:1] ELSE z.stack[1:d.l] END AS cut FROM z JOIN d ON d.doc_id = z.doc_id AND d.o = z.o + 1))))
+"""
 _FLAT = "(SELECT DISTINCT doc_id, id, node_type, location.semantic.depth AS depth, coalesce(token_count, 0) AS v, location.semantic.path AS path FROM nodes WHERE id IS NOT NULL)"
 _SETS = f"(SELECT doc_id, true AS overall, NULL AS node_type, v FROM {_FLAT} UNION ALL SELECT doc_id, false, node_type, v FROM {_FLAT})"
 _HIST = f"""
@@ -321,6 +353,16 @@ SELECT t.doc_id, median AS median_size, min_size, max_size, body AS body_text_si
 FROM t JOIN m USING (doc_id)""",
     "r1_parsed": f"SELECT doc_id, position, 'Paragraph' AS element_type, 1 AS hierarchy_level, reading_order, text, token_count FROM {_PARSED}",
     "r3_headings": _HEADINGS + "SELECT doc_id, reading_order, text FROM h",
+    "r4_word_headings": _HEADINGS.split("\nh AS (")[0] + f"""
+h AS (SELECT * FROM j WHERE (fs >= CAST(9.5 AS FLOAT) AND (fs > body OR potential OR bold) OR {' OR '.join(f"contains(lower(text), '{w}')" for w in WORDS)}) AND bytes >= 3 AND (bytes >= 8 OR bold OR potential))
+SELECT doc_id, reading_order, text FROM h""",
+    "r11_clusters": _MERGED + "\nSELECT doc_id, page_number, reading_order, text, b.x AS x, b.y AS y, b.w AS width, b.h AS height, tokens AS token_count FROM r",
+    "r13_ruled_elements": _RULED + "SELECT doc_id, page_number, reading_order, element_type, hierarchy_level, text, b.x AS x, b.y AS y, b.w AS width, b.h AS height FROM r",
+    "g_pipeline_nodes": _PLACED + f"""
+SELECT d.doc_id, sha256(d.doc_id || ':' || d.o) AS id, element_type AS node_type, z.path, l AS depth, d.o AS text_order, {_trim('text')} AS text, tokens AS token_count,
+  CASE WHEN parent < 0 THEN sha256(d.doc_id || ':root') ELSE sha256(d.doc_id || ':' || parent) END AS parent
+FROM d JOIN z ON z.doc_id = d.doc_id AND z.o = d.o
+UNION ALL SELECT DISTINCT doc_id, sha256(doc_id || ':root'), 'Document', '', 0, NULL, 'Document', 0, NULL FROM d""",
     "r6_heading_levels": _LEVELS + "SELECT doc_id, heading, level FROM f",
     "r7_section_levels": _LEVELS + """,
 o AS (SELECT p.doc_id, p.reading_order, h.reading_order IS NOT NULL AS is_h,

@@ -287,3 +287,17 @@ def test_stream_ingest_is_repeatable(spark, tmp_path):
     for _ in range(2):
         ingest(markup_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_files_lead_to_nodes_with_their_paths_as_keys(spark, tmp_path):
+    from folioloom.sources.files import markup_files
+
+    rows = [element(d, i, f"Heading {d} number {i}" if i % 4 == 0 else f"body text {i}", HEAD if i % 4 == 0 else BODY, para=i, y=72.0 + 24 * i) for d in (1, 2) for i in range(8)]
+    te = spark.createDataFrame(rows, TE)
+    classes = spark.createDataFrame([(d, *s) for d in (1, 2) for s in (HEAD, BODY)], "doc_id bigint, class_name string, font_family string, font_size float, font_style string, font_weight string, color string")
+    for r in markup.build(te, classes).collect():
+        (tmp_path / f"{r.doc_id}.xhtml").write_text(r.xhtml)
+    files = markup_files(spark, str(tmp_path))
+    by_path = {r.doc_id.rsplit("/", 1)[1][0]: r.n for r in Pipeline(markup.text_elements(files), markup.font_classes(files)).nodes.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    by_number = {str(r.doc_id): r.n for r in Pipeline(te, classes).nodes.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert by_path == by_number and set(by_path) == {"1", "2"}
