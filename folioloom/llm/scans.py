@@ -187,6 +187,11 @@ def _tokens(text: Column) -> Column:
     return F.split(_plain(text), "[ \n\t]")
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that filters may use without computing them again (a filter isn't pushed below the inline)."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def _few(df: DataFrame) -> DataFrame:
     """A written table, marked for broadcast if it has FEW rows at most."""
     return F.broadcast(df) if df.count() <= FEW else df
@@ -250,12 +255,12 @@ class Scans:
         both = lambda c: _yes(c.rlike(HEAD_AND_NUMBER) & c.rlike(HAS_LETTERS))
         number = lambda c: _yes(c.rlike(NUMBER_LINE))
         single = F.col("n_lines") == 1
-        c = self._candidates().join(_few(self.pages), "doc_id").withColumn("number", number(line)).withColumn("both", both(line))
-        c = c.withColumn("short", F.char_length("line") <= SHORT * F.col("widest")).withColumn("decorated", line.rlike(DECORATED))
+        short = F.char_length("line") <= SHORT * F.col("widest")
+        c = _once(self._candidates().join(_few(self.pages), "doc_id"), number=number(line), both=both(line), short=short, decorated=line.rlike(DECORATED))
         small = _yes(F.col("size") < F.col("body_size")).cast("int")
         margin = _yes((F.col("y") < F.col("top")) | (F.col("y") > F.col("bottom"))).cast("int")
         sure = (F.col("number") & F.col("decorated") & ~line.rlike(r"^[(\[—–-]?\s*\d+[.)]$") | F.col("both")).cast("int")
-        c = c.withColumn("signs", small + margin + (F.col("number") | F.col("both")).cast("int") + sure)
+        c = _once(c, signs=small + margin + (F.col("number") | F.col("both")).cast("int") + sure)
         # a mask decides only where another sign speaks for a whole paragraph, or for a short line
         c = c.withColumn("mask", F.when(~F.col("number") & F.when(single, (F.col("node_type") == "Section") | (F.col("signs") > 0)).otherwise(F.col("short") | F.col("both")), F.nullif(masked(line), F.lit(""))))
         # what no rule below can take goes before anything moves
@@ -357,17 +362,10 @@ class Scans:
         starts = starts.join(bridge, ["doc_id", "block"]).select("doc_id", "id", F.coalesce("next", "onward").alias("next")).filter("next is not null")
         across = open_.join(starts, ["doc_id", "id"]).select("doc_id", "id", "line_no", "half", "hyphen", F.col("next.first").alias("rest"), F.col("next.id").alias("rest_id"), F.lit(0).alias("rest_line"))
         every = inside.unionByName(next_line).unionByName(across)
-        half, rest = bare_word(_plain(F.col("half"))), bare_word(_plain(F.col("rest")))
+        every = _once(every.filter(F.col("rest").rlike(r"^[\p{Ll}0-9!|]")), h=bare_word(_plain(F.col("half"))), r=bare_word(_plain(F.col("rest"))))
         # of a compound only the part at the cut counts
-        return checkpointed(
-            every.filter(F.col("rest").rlike(r"^[\p{Ll}0-9!|]"))
-            .withColumn("a", F.regexp_extract(half, r"([^-]*)$", 1))
-            .withColumn("b", F.regexp_extract(rest, r"^([^-]*)", 1))
-            .withColumn("joined", F.concat("a", "b"))
-            .withColumn("compound", F.concat_ws("-", "a", "b"))
-            .filter("a <> '' and b <> ''")
-            .distinct()
-        )
+        every = _once(every, a=F.regexp_extract("h", r"([^-]*)$", 1), b=F.regexp_extract("r", r"^([^-]*)", 1)).drop("h", "r").filter("a <> '' and b <> ''")
+        return checkpointed(every.withColumn("joined", F.concat("a", "b")).withColumn("compound", F.concat_ws("-", "a", "b")).distinct())
 
     # -- words
 
