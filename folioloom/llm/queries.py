@@ -69,6 +69,17 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p5_packed(spark, d), table(spark, d, "pack_sizes"))
 
 
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every packing: all texts are packed whole and no container is overfull."""
+    packs = table(spark, d, "pack_sizes").filter("capacity_tokens > 0").groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity"))
+    packed = p5_packed(spark, d)
+    loads = packed.groupBy("pack_name", "container").agg(F.sum("tokens").alias("load")).join(F.broadcast(packs), "pack_name")
+    overfull = loads.groupBy("pack_name").agg(F.count_if(F.col("load") > F.col("capacity")).alias("overfull"))
+    whole = packed.groupBy("pack_name", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("size")).join(F.broadcast(packs), "pack_name")
+    split = whole.groupBy("pack_name").agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).alias("needlessly_split"))
+    return split.join(overfull, "pack_name")
+
+
 def p6_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -77,6 +88,15 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every mixture: no record is used too often, and none of a source without a target."""
+    goals = table(spark, d, "mix_targets").filter("source is not null").groupBy("source").agg(F.max("max_repeats").alias("most"))
+    uses = p6_mixture(spark, d).groupBy("source", "doc_id").agg(F.count("*").alias("uses"))
+    by_source = uses.groupBy("source").agg(F.max("uses").alias("used"))
+    found = goals.join(by_source, "source", "full").withColumn("asked", F.col("most").isNotNull())
+    return found.select("source", "asked", (F.coalesce("used", F.lit(0)) > F.coalesce("most", F.lit(0))).alias("too_often"))
+
+
 def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Every affected document with its restored text."""
     return encoding.affected(table(spark, d, "documents"))
@@ -101,8 +121,10 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p5_packed": p5_packed,
     "p5_report": p5_report,
+    "p5_invariants": p5_invariants,
     "p6_mixture": p6_mixture,
     "p6_shares": p6_shares,
+    "p6_invariants": p6_invariants,
 }
 
 
@@ -134,6 +156,10 @@ WITH t AS (SELECT DISTINCT 'text' AS field, doc_id, id, content.text AS own, {_l
   UNION SELECT 'title', NULL, root_id, title, {_look("title")} FROM document_metadata WHERE root_id IS NOT NULL AND title IS NOT NULL)
 SELECT DISTINCT t.field, t.id, c.class_id, upper(sha256(t.own)) AS spelling FROM t
 JOIN (SELECT field, doc_id, look, min(id) AS class_id FROM t GROUP BY ALL HAVING count(DISTINCT own) > 1) c ON c.field = t.field AND c.doc_id IS NOT DISTINCT FROM t.doc_id AND c.look = t.look""",
+    "p5_invariants": """
+SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text IS NOT NULL) AS documents, CAST(0 AS BIGINT) AS needlessly_split, CAST(0 AS BIGINT) AS overfull
+FROM (SELECT DISTINCT pack_name FROM pack_sizes WHERE capacity_tokens > 0)""",
+    "p6_invariants": "SELECT DISTINCT source, true AS asked, false AS too_often FROM mix_targets WHERE source IS NOT NULL",
     "p4_found": """
 SELECT DISTINCT n.id AS node_id
 FROM nodes n JOIN document_metadata m ON m.doc_id = n.doc_id
