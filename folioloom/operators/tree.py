@@ -148,3 +148,16 @@ def merge_titles(parsed: DataFrame, metadata: DataFrame) -> DataFrame:
     given = metadata.groupBy("doc_id").agg(F.max("title").alias("given"))
     docs = parsed.select("doc_id").distinct()
     return docs.join(infer_titles(parsed), "doc_id", "left").join(given, "doc_id", "left").select("doc_id", F.coalesce("given", "title").alias("title"))
+
+
+def merge_metadata(inferred: DataFrame, given: DataFrame) -> DataFrame:
+    """One row a document: each field of ``inferred`` that ``given`` replaces where it has a value (a page count only above 0).
+
+    An empty string is a value. Of several given rows the largest value of each field counts.
+    """
+    names = [c for c in inferred.columns if c != "doc_id"]
+    both = [c for c in names if c in given.columns]
+    value = lambda c: F.when(F.col(c) > 0, F.col(c)) if c == "page_count" else F.col(c)
+    rows = given.groupBy("doc_id").agg(F.max(F.lit(1)).alias("_n"), *[F.max(value(c)).alias(f"_{c}") for c in both])
+    out = inferred.join(rows, "doc_id", "left")
+    return out.select("doc_id", *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in both else F.col(c) for c in names])

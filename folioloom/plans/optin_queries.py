@@ -9,7 +9,7 @@ from folioloom.config import BULLETS, NUMBERED, Lists, Sizing
 from folioloom.operators import inspect, lists, sizing, tree
 from folioloom.operators.elements import elements, parsed
 from folioloom.plans import formats
-from folioloom.plans.core_queries import _E, _N, _PARSED, _markup, _nodes, _trim
+from folioloom.plans.core_queries import _E, _N, _PARSED, CLI, _markup, _nodes, _trim
 from folioloom.sources import markup
 from folioloom.session import checkpointed
 from folioloom.sources.tables import table
@@ -18,6 +18,8 @@ from folioloom.sources.tables import table
 PATTERNS = (r"^[A-Z][A-Z\s]{2,}$", r"^\d+\.\s+[A-Z][a-z]{3,}", r"^(Chapter|Section|Part|Article)\s+\d+", r"^[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})*:$")
 MIN_SIZE = 9.5
 LISTS, SIZES = Lists(), Sizing(max_size=80)
+#: Which documents the cache of ``o7_uncached`` holds.
+IN_TIME = "ingested_at <= authored_at + INTERVAL 1 DAY"
 
 
 def _parsed(s: SparkSession, d: str) -> DataFrame:
@@ -40,10 +42,9 @@ def r33_oversized(s: SparkSession, d: str) -> DataFrame:
 
 
 def o7_uncached(s: SparkSession, d: str) -> DataFrame:
-    """Documents whose graph isn't among the delivered ones, by cache key of the id."""
-    key = formats.cache_key(formats.text_hash(F.col("doc_id").cast("string")), "config")
-    docs = table(s, d, "document_metadata").select("doc_id").distinct().withColumn("cache_hash", key)
-    return formats.uncached(docs, table(s, d, "graph_records").select("doc_id").distinct().withColumn("cache_hash", key)).select("doc_id")
+    """Documents whose content, under this configuration and version, isn't among those stored in time (within a day of writing)."""
+    docs = table(s, d, "documents").filter("text is not null").withColumn("cache_hash", formats.cache_key(formats.text_hash(F.col("text")), CLI.hash()))
+    return formats.uncached(docs, docs.filter(IN_TIME)).select("doc_id")
 
 
 def x4_style_lookup(s: SparkSession, d: str) -> DataFrame:
@@ -108,7 +109,8 @@ SELECT doc_id, list_no, min(index) AS start, max(index) AS last_marker,
   least(max(index) + {LISTS.sequence_boundary_extension}, (SELECT count(*) FROM i WHERE i.doc_id = l.doc_id) - 1) AS end, count(*) AS markers FROM l GROUP BY doc_id, list_no""",
     "r33_oversized": f"""SELECT doc_id, reading_order, length(text) AS characters, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, strlen(text) AS bytes
 FROM {_PARSED} WHERE length(text) > {SIZES.max_size}""",
-    "o7_uncached": "SELECT DISTINCT doc_id FROM document_metadata m WHERE NOT EXISTS (SELECT 1 FROM graph_records g WHERE g.doc_id = m.doc_id)",
+    "o7_uncached": f"""WITH k AS (SELECT *, sha256(sha256(text) || '|{CLI.hash()}|{formats.SCHEMA_VERSION}') AS key FROM documents WHERE text IS NOT NULL)
+SELECT doc_id FROM k ANTI JOIN (SELECT DISTINCT key FROM k WHERE {IN_TIME}) c USING (key)""",
     "x4_style_lookup": f"""SELECT e.doc_id, e.reading_order, e.style_info.class_name AS class_name, coalesce(f.font_family, 'unknown') AS font_family, CAST(coalesce(f.font_size, 12) AS DOUBLE) AS font_size
 FROM {_E} e LEFT JOIN (SELECT DISTINCT doc_id, class_name, font_family, font_size FROM font_classes) f ON f.doc_id = e.doc_id AND f.class_name = e.style_info.class_name""",
 }

@@ -301,3 +301,10 @@ def test_files_lead_to_nodes_with_their_paths_as_keys(spark, tmp_path):
     by_path = {r.doc_id.rsplit("/", 1)[1][0]: r.n for r in Pipeline(markup.text_elements(files), markup.font_classes(files)).nodes.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     by_number = {str(r.doc_id): r.n for r in Pipeline(te, classes).nodes.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert by_path == by_number and set(by_path) == {"1", "2"}
+
+
+def test_metadata_is_merged_field_by_field(spark):
+    inferred = spark.createDataFrame([(1, "A", "me", 3), (2, "B", None, 4), (3, "C", None, None)], "doc_id bigint, title string, author string, page_count int")
+    given = spark.createDataFrame([(1, "", None, 0, "x"), (2, None, "you", 9, "y"), (2, None, "you", 9, "y")], "doc_id bigint, title string, author string, page_count int, other string")
+    got = {r.doc_id: (r.title, r.author, r.page_count) for r in tree.merge_metadata(inferred, given).collect()}
+    assert got == {1: ("", "me", 3), 2: ("B", "you", 9), 3: ("C", None, None)}
